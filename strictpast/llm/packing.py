@@ -11,16 +11,19 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from strictpast.llm.common import written
+from strictpast.llm.common import Held, written
 
 #: Rows of one length that are ranked by one task.
 SALT_ROWS = 50_000
@@ -35,64 +38,100 @@ class WordTokens:
     #: Bytes that end words and form a token run of their own after an ASCII letter or digit. No apostrophe: it begins contractions.
     TAIL = b".,!?%&$*#;:)"
 
-    def __init__(self, path: str, size: int = 250_000):
-        import os
-
+    def __init__(self, path: str, size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer, self.size = Tokenizer.from_file(path), size
+        # Lower-case letters in composed form pass the tokenizer's normalizer and splitter unchanged, one word each.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _fetch(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        for word, ids in zip(words, found, strict=True):
-            self.young[word] = np.array(ids.ids, "<u4").tobytes()
+        plain, names, other = [], [], []
+        for word in words:
+            text = word.decode()
+            if text.isalpha() and text.islower() and (text.isascii() or is_normalized("NFC", text)):
+                plain.append(text)
+                names.append(word)
+            else:
+                other.append(word)
+        for at in range(0, len(plain), 1000):
+            ids = np.array(self.letters.encode_batch_fast([" ".join(plain[at : at + 1000])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw, part = ids.tobytes(), names[at : at + 1000]
+            if len(cuts) == len(part) + 1:
+                self.young.update(zip(part, (raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:  # a vocabulary without word ends for some letter
+                other += part
+        if other:
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)
+            for word, ids in zip(other, found, strict=True):
+                self.young[word] = np.array(ids.ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Have all ``words`` in memory."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        parts, need = {}, set()
-        for word in words:
-            if word in young:
-                continue
-            if word in old:
-                young[word] = old[word]
-                continue
+        missing = words.difference(young)
+        for word in missing.intersection(old):
+            young[word] = old[word]
+        missing.difference_update(old)
+        parts, need = [], set()
+        for word in missing:
             core = word.rstrip(self.TAIL)
-            tail = word[len(core) :]
             # Lower case is the tokenizer's own first step; a tail after an ASCII letter or digit is a run of its own.
-            core = core.lower()
-            if not core or tail and not (core[-1:].isalnum() and core[-1] < 128):
-                core, tail = word, b""
-            parts[word] = core, tail
-            need.update(x for x in (core, tail) if x and x not in young)
-        for x in list(need):
-            if x in old:
-                young[x] = old[x]
-                need.discard(x)
+            if len(core) == len(word):
+                low = word.lower()
+                if low != word:
+                    parts.append((word, low, b""))
+                need.add(low)
+            elif core and core[-1:].isalnum():
+                low, tail = core.lower(), word[len(core) :]
+                parts.append((word, low, tail))
+                need.add(low)
+                need.add(tail)
+            else:
+                need.add(word)
+        need.difference_update(young)
+        for x in need.intersection(old):
+            young[x] = old[x]
+        need.difference_update(old)
         if need:
             self._fetch(list(need))
-        for word, (core, tail) in parts.items():
-            young[word] = young[core] + young[tail] if tail else young[core]
+        for word, low, tail in parts:
+            young[word] = young[low] + young[tail] if tail else young[low]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        out: list[bytes] = []
-        split = [(x or b"").split() for x in texts]
-        at = 0
-        while at < len(split):
-            words: set[bytes] = set()
-            end = at
-            while end < len(split) and (end == at or len(words) < 50_000):
-                words.update(split[end])
-                end += 1
-            self.learn(words)
-            get = self.young.__getitem__
-            out += [b"".join(map(get, x)) for x in split[at:end]]
-            at = end
+        out: list = []
+        late: list[tuple[int, list[bytes], list]] = []
+        missing: set[bytes] = set()
+
+        def settle() -> None:
+            self.learn(missing)
+            young = self.young
+            for at, words, got in late:
+                out[at] = b"".join([young[w] if i is None else i for w, i in zip(words, got, strict=True)])
+            late.clear()
+            missing.clear()
+
+        for text in texts:
+            words = (text or b"").split()
+            got = list(map(self.young.get, words))
+            if None in got:
+                missing.update([w for w, i in zip(words, got, strict=True) if i is None])
+                late.append((len(out), words, got))
+                out.append(b"")
+                if len(missing) > 20_000:
+                    settle()
+            else:
+                out.append(b"".join(got))
+        settle()
         return out
 
 
@@ -174,7 +213,7 @@ def place(found: DataFrame, capacity: int = 4096) -> DataFrame:
     ranked = salted.withColumn("inside", inside).join(shift, ["length", "salt"]).withColumn("rank", F.col("inside") - 1 + F.col("shift")).drop("inside", "shift", "salt")
     table = np.array(slots, np.int64).reshape(-1, 6)
     order = np.lexsort((table[:, 1], table[:, 0]))
-    held = spark.sparkContext.broadcast(table[order])  # bounded by the plan, which is bounded by the lengths
+    held = Held(spark, table[order])  # bounded by the plan, which is bounded by the lengths
 
     def run(batches):
         plan_rows = held.value
