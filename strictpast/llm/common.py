@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,20 @@ def crc32_of_id(column: Column | str) -> Column:
 def crc32_of(value) -> int:
     """The same digest in Python."""
     return zlib.crc32(b"" if value is None else str(value).encode())
+
+
+class Held:
+    """A broadcast of any picklable object of bounded size, opened once in each worker."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._open = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_open": None}
+
+    @property
+    def value(self):
+        if self._open is None:
+            self._open = pickle.loads(self._sent.value)
+        return self._open
