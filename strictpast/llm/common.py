@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 
@@ -74,3 +76,11 @@ class Held:
         if self._open is None:
             self._open = pickle.loads(self._sent.value)
         return self._open
+
+
+def once_a_process(name: str, make):
+    """What ``make`` returns, kept in a worker process from task to task."""
+    kept = sys.modules.setdefault("_strictpast_kept", types.ModuleType("_strictpast_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

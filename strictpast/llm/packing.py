@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from strictpast.llm.common import Held, written
+from strictpast.llm.common import Held, once_a_process, written
 
 #: Rows of one length that are ranked by one task.
 SALT_ROWS = 50_000
@@ -42,8 +42,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.size = Tokenizer.from_file(path), size
         # Lower-case letters in composed form pass the tokenizer's normalizer and splitter unchanged, one word each.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = None
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -139,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """(id, piece, start, length, ids_crc32[, ids: little-endian unsigned 32-bit])."""
 
     def run(batches):
-        words = WordTokens(tokenizer_path)
+        words = once_a_process(f"words {tokenizer_path}", lambda: WordTokens(tokenizer_path))
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
