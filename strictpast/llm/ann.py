@@ -141,9 +141,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
             take = np.where(enough.any(1), np.maximum(enough.argmax(1) + 1, probes), len(c))
             at = np.repeat(np.arange(len(q)), np.minimum(take, len(c)))
             cell = np.concatenate([order[i, :n] for i, n in enumerate(take)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cell.astype(np.int32))], ["query_id", "cell"])
+            place = np.concatenate([np.arange(min(n, len(c))) for n in take])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array(place.astype(np.int32))], ["query_id", "cell", "place"])
 
-    pairs = written(asked.mapInArrow(probe, "query_id long, cell int"), "probes")
+    pairs = written(asked.mapInArrow(probe, "query_id long, cell int, place int"), "probes")
     asked_in = {r[0]: r[1] for r in pairs.groupBy("cell").count().collect()}  # at most ``cells`` rows
     parts = [max(1, -(-int(n) // PART)) for n in in_cell]
     blocks = [max(1, -(-asked_in.get(i, 0) // BLOCK)) for i in range(len(in_cell))]
@@ -152,7 +153,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
     left = coded.withColumn("part", F.pmod(F.xxhash64("id"), part_of).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), block_of - 1)))
     right = pairs.withColumn("block", F.pmod(F.xxhash64("query_id"), block_of).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), part_of - 1)))
     right = right.join(asked.select(F.col("id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "query_id")
-    best = settings.rerank
+    # The nearest cells pass on as many candidates as are reranked, the others their share of three times as many.
+    best, few = settings.rerank, max(k + 1, -(-3 * settings.rerank // probes))
 
     def rank(one: pa.Table, two: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -161,6 +163,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
             ids = one.column("id").to_numpy()
             codes = np.frombuffer(b"".join(one.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             names = two.column("query_id").to_numpy()
+            most = np.where(two.column("place").to_numpy() < 4, best, few)
             q = np.array(two.column("vec").to_pylist())
             cell = one.column("cell")[0].as_py()
             for at in range(0, len(q), 32):
@@ -169,11 +172,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
                 for j in range(1, len(tables)):
                     score = score + tables[j][:, codes[:, j]]
                 for i, name in enumerate(names[at : at + 32]):
-                    s = score[i]
-                    if len(s) > best + 1:
-                        edge = np.partition(s, best)[best]
+                    s, m = score[i], most[at + i]
+                    if len(s) > m + 1:
+                        edge = np.partition(s, m)[m]
                         near = np.flatnonzero(s < edge)
-                        near = np.concatenate([near, np.flatnonzero(s == edge)[: best + 1 - len(near)]])
+                        near = np.concatenate([near, np.flatnonzero(s == edge)[: m + 1 - len(near)]])
                     else:
                         near = np.arange(len(s))
                     near = near[ids[near] != name]
