@@ -30,7 +30,7 @@ class Settings:
 
     sample: int = 16_384
     cells: int = 1024
-    probe_share: float = 0.6
+    probe_share: float = 0.7
     probes: int = 12
     codes: int = 16
     rerank: int = 300
