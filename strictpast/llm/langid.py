@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import Held, crc32_of_id
+from strictpast.llm.common import Held, bounded_sample, crc32_of_id
 
 
 @dataclass(frozen=True)
@@ -223,9 +223,11 @@ def fit(rows: list[tuple[str, bytes]], settings: Settings = Settings()) -> Model
 
 def training_rows(docs: DataFrame, settings: Settings, id_col: str = "doc_id") -> list[tuple[str, bytes]]:
     """At most ``docs_per_lang`` rows of each language, spread by a hash of the id, cut into their training windows."""
-    chosen = docs.where("lang is not null and text is not null and length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col)
-    chosen = chosen.select("lang", id_col, "text").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= settings.docs_per_lang)
+    rows = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", F.col(id_col).alias("id"))
+    ids = bounded_sample(rows, "lang", settings.docs_per_lang).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    # Language and id come first without the texts; the ids sent out are bounded by the sample.
+    same = (F.col("lang") == F.col("__lang")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    chosen = docs.where("text is not null and length(text) > 0").join(F.broadcast(ids), same, "left_semi")
     # ``windows`` reads no more than this many evenly spread characters' worth of a text, so send just those.
     size, n = settings.window, settings.windows_per_doc
     room = F.greatest(F.lit(0), F.length("text") - size)

@@ -17,10 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import written
+from strictpast.llm.common import bounded_sample, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -125,8 +125,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, settings: Settings = Se
     counts = {r[0]: r[1] for r in named.groupBy("domain").count().collect()}
     if not counts:
         return None
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
-    chosen = named.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= settings.rows_per_domain).drop("rn")
+    chosen = bounded_sample(named, "domain", settings.rows_per_domain).select("id", "domain")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = written(_prepared(source.join(F.broadcast(chosen), "id").select("id", "text"), settings, "id", "text").join(F.broadcast(chosen), "id"), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import Held, crc32_of_id, written
+from strictpast.llm.common import Held, bounded_sample, crc32_of_id, written
 
 #: ASCII letters and digits and all other bytes stay, the rest separates.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -55,8 +55,7 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Data
     """(rn, id, toxic, text) of the sample, and how many labelled rows there are of each label."""
     named = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in named.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = named.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= settings.per_label)
+    chosen = bounded_sample(named, "toxic", settings.per_label)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     return written(rows.select("rn", "id", "toxic", "text"), "toxic-sample"), counts
 
