@@ -2,8 +2,8 @@
 
 A classifier learned from a labelled table gives each document a probability for every domain. Documents then get
 rates, at least ``floor``, such that the expected tokens of each domain (rate x tokens x probability, summed) match
-targets: nonnegative least squares by projected gradient. A step needs the domains' totals and their Gram matrix over
-rows that are free to move, one map-side-combined aggregate of k + k*k sums; a rate is a chain of clipped steps over the row's own probabilities, so no
+targets: nonnegative least squares by projected gradient. A pass is one map-side-combined aggregate of the domains'
+totals at a few step lengths; a rate is a chain of clipped steps over the row's own probabilities, so no
 state is kept per document and nothing but sums comes to the driver.
 
 A null or empty text has no tokens; its probabilities come from its (zero) features, its rate weighs nothing. Repeated
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from strictpast.llm.common import bounded_sample, written
 
+#: Step lengths that each pass tries.
+STEPS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -153,7 +155,8 @@ def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float],
     """The rate column over rows (tokens, one probability column per domain) and what it attains.
 
     ``budget``: expected tokens in all; the smallest that every target allows at ``floor`` where it is None and floor > 0,
-    else as many as there are. Steps are preconditioned by the Gram matrix of the rows that are free to move.
+    else as many as there are. The direction is the gradient preconditioned by the Gram matrix; a pass tries all of
+    ``STEPS`` lengths along it, clipped at the floor, and takes the best, so the misfit never grows.
     """
     k = len(domains)
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
@@ -164,21 +167,25 @@ def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float],
     if budget is None:
         used = share > 0
         budget = float((have[used] * floor / share[used]).max()) if floor else float(have.sum())
-    goal, rate, got, last = share * max(budget, 1e-9), F.lit(max(1.0, floor)), have, np.inf
-    for step in range(settings.passes):
-        free = F.when(rate > floor, t).otherwise(0.0)
-        sums = [F.sum(t * c * rate) for c in p] + [F.sum(free * p[a] * p[b]) for a in range(k) for b in range(k)] + [F.sum(t * p[a] * p[b]) for a in range(k) for b in range(k)]
-        found = np.array([x or 0.0 for x in rows.agg(*sums).first()])
-        got = found[:k]
+    goal, rate = share * max(budget, 1e-9), F.lit(max(1.0, floor))
+    start = rows.agg(*[F.sum(t * c) for c in p], *[F.sum(t * p[a] * p[b]) for a in range(k) for b in range(k)]).first()
+    sums = np.array([x or 0.0 for x in start])
+    got, gram = sums[:k] * max(1.0, floor), sums[k:].reshape(k, k)
+    gram = gram + 1e-9 * max(np.trace(gram), 1e-9) * np.eye(k)
+    step = 0
+    for step in range(1, settings.passes + 1):
         short = goal - got
-        miss = np.abs(short).sum()
-        if miss <= settings.close * max(goal.sum(), 1e-9) or miss > 0.99 * last:
+        if np.abs(short).sum() <= settings.close * max(goal.sum(), 1e-9):
             break
-        last = miss
-        gram, whole = found[k : k + k * k].reshape(k, k), found[k + k * k :].reshape(k, k)
-        # Rows at the floor may have to leave it: a tenth of their weight keeps the step finite for them.
-        move = np.linalg.lstsq(gram + 0.1 * whole + 1e-9 * np.trace(whole) * np.eye(k), short, rcond=None)[0]
-        rate = F.greatest(F.lit(float(floor)), rate + sum([p[i] * float(move[i]) for i in range(1, k)], p[0] * float(move[0])))
+        move = np.linalg.solve(gram, short)
+        drift = sum([p[i] * float(move[i]) for i in range(1, k)], p[0] * float(move[0]))
+        tried = [F.greatest(F.lit(float(floor)), F.col("_rate") + F.col("_drift") * length) for length in STEPS]
+        found = rows.withColumn("_rate", rate).withColumn("_drift", drift).agg(*[F.sum(t * c * x) for x in tried for c in p]).first()
+        ends = np.array([x or 0.0 for x in found]).reshape(len(STEPS), k)
+        best = int(((goal - ends) ** 2).sum(1).argmin())
+        if ((goal - ends[best]) ** 2).sum() >= 0.999 * (short**2).sum():
+            break
+        rate, got = F.greatest(F.lit(float(floor)), rate + drift * STEPS[best]), ends[best]
     return rate, {"passes": step + 1, "goal": goal.tolist(), "got": got.tolist(), "had": have.tolist()}
 
 
