@@ -38,7 +38,7 @@ class WordTokens:
     #: Bytes that end words and form a token run of their own after an ASCII letter or digit. No apostrophe: it begins contractions.
     TAIL = b".,!?%&$*#;:)"
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str, size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.size = Tokenizer.from_file(path), size
         # Lower-case letters in composed form pass the tokenizer's normalizer and splitter unchanged, one word each.
@@ -77,10 +77,12 @@ class WordTokens:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = words.difference(young)
-        for word in missing.intersection(old):
-            young[word] = old[word]
-        missing.difference_update(old)
+        missing = []
+        for word in words:
+            if word in old:
+                young[word] = old[word]
+            elif word not in young:
+                missing.append(word)
         parts, need = [], set()
         for word in missing:
             core = word.rstrip(self.TAIL)
@@ -97,34 +99,46 @@ class WordTokens:
                 need.add(tail)
             else:
                 need.add(word)
-        need.difference_update(young)
-        for x in need.intersection(old):
-            young[x] = old[x]
-        need.difference_update(old)
-        if need:
-            self._fetch(list(need))
+        absent = []
+        for x in need:
+            if x in old:
+                young[x] = old[x]
+            elif x not in young:
+                absent.append(x)
+        if absent:
+            self._fetch(absent)
         for word, low, tail in parts:
             young[word] = young[low] + young[tail] if tail else young[low]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         out: list = []
-        late: list[tuple[int, list[bytes], list]] = []
+        late: list[tuple[int, list, list[int], list[bytes]]] = []
         missing: set[bytes] = set()
 
         def settle() -> None:
             self.learn(missing)
             young = self.young
-            for at, words, got in late:
-                out[at] = b"".join([young[w] if i is None else i for w, i in zip(words, got, strict=True)])
+            for at, got, holes, names in late:
+                for i, w in zip(holes, names, strict=True):
+                    got[i] = young[w]
+                out[at] = b"".join(got)
             late.clear()
             missing.clear()
 
         for text in texts:
             words = (text or b"").split()
             got = list(map(self.young.get, words))
-            if None in got:
-                missing.update([w for w, i in zip(words, got, strict=True) if i is None])
-                late.append((len(out), words, got))
+            holes, i = [], -1
+            try:
+                while True:
+                    i = got.index(None, i + 1)
+                    holes.append(i)
+            except ValueError:
+                pass
+            if holes:
+                names = [words[i] for i in holes]
+                missing.update(names)
+                late.append((len(out), got, holes, names))
                 out.append(b"")
                 if len(missing) > 20_000:
                     settle()
