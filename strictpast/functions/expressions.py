@@ -46,7 +46,7 @@ def hour_features(ts: Column) -> dict[str, Column]:
 def flag_features() -> dict[str, Column]:
     same_bank = F.col("from_bank") == F.col("to_bank")
     return {
-        "is_same_currency": (F.col("payment_currency") == F.col("receiving_currency")).cast("byte"),
+        "is_currency_same": (F.col("payment_currency") == F.col("receiving_currency")).cast("byte"),
         "is_same_bank": same_bank.cast("byte"),
         "is_self_transfer": (same_bank & (F.col("from_account") == F.col("to_account"))).cast("byte"),
     }

@@ -132,7 +132,7 @@ def _(spark, sf):
 
 @query(
     "basic_flags",
-    order_sql("SELECT l_orderkey, l_linenumber, l_partkey, CAST(payment_currency = receiving_currency AS INTEGER) AS is_same_currency, CAST(from_bank = to_bank AS INTEGER) AS is_same_bank, CAST(from_bank = to_bank AND from_account = to_account AS INTEGER) AS is_self_transfer FROM led"),
+    order_sql("SELECT l_orderkey, l_linenumber, l_partkey, CAST(payment_currency = receiving_currency AS INTEGER) AS is_currency_same, CAST(from_bank = to_bank AS INTEGER) AS is_same_bank, CAST(from_bank = to_bank AND from_account = to_account AS INTEGER) AS is_self_transfer FROM led"),
 )
 def _(spark, sf):
     return order_ledger(spark, sf).select(*ORDER_KEYS, *[c.cast("int").alias(n) for n, c in X.flag_features().items()])
