@@ -40,11 +40,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct text, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__text_sha"))
-    body = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    kept = docs.withColumn("__text_sha", body).join(stay, "__text_sha").where(F.col(id_col).eqNullSafe(F.col("__keep_id")))
-    return kept.drop("__keep_id").dropDuplicates([id_col, "__text_sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, one per distinct text, with all their columns.
+
+    One aggregate whose rows carry a text once: as its normal form, and as it stands only where that differs.
+    """
+    body = normalised(F.col(text_col))
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    raw = F.when(F.col(text_col).isNull() | (F.col(text_col) != body), F.struct(F.col(text_col).alias("text"))).alias("raw")
+    first = F.struct(F.col(id_col).isNull(), F.col(id_col))
+    rows = docs.select(F.unhex(F.md5(body.cast("binary"))).alias("h"), body.alias("body"), F.struct(*rest, raw).alias("row"), first.alias("first"))
+    kept = rows.groupBy("h", "body").agg(F.min_by("row", "first").alias("row"))
+    text = F.when(F.col("row.raw").isNotNull(), F.col("row.raw.text")).otherwise(F.col("body"))
+    return kept.select(*[(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9_exact_dedup(spark, sf_dir):
