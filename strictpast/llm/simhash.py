@@ -136,10 +136,15 @@ def near_components(docs: DataFrame, distance: int = 4, words: int = 4, bucket:
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id, once each, with all their columns."""
-    stay = near_components(docs, distance, words, BUCKET, id_col, text_col)
-    stay = stay.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay"))).drop("__stay").dropDuplicates([id_col]).select(*docs.columns)
+    """The rows of ``docs`` whose id is their component's id, once each, with all their columns.
+
+    Rows with a null id can't be told apart and all stay.
+    """
+    found = near_components(docs, distance, words, BUCKET, id_col, text_col)
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
+    # Joined and freed of repeated rows under one partitioning by id, so a text moves once.
+    kept = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__stay")).drop("__stay").dropDuplicates([id_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op4_simhash(spark, sf_dir):
