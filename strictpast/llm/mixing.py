@@ -212,12 +212,13 @@ def _chance(id_col: str) -> Column:
 def mixed(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings(), floor: float = 1.0) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with all their columns.
 
-    With a floor of 1 every document stays, and scarce domains repeat.
+    With a floor of 1 every document stays, and scarce domains repeat. A null id counts once.
     """
     rates, _ = mixing_rates(docs, labelled, settings, floor)
-    copies = rates.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).where("__copies > 0").select(*docs.columns)
+    copies = rates.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    joined = docs.join(copies, F.col("doc_id") == F.col("__id"), "left")
+    times = F.coalesce("__copies", F.lit(1))
+    return joined.where(times > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
