@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 from strictpast import queries
 

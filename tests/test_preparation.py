@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import make_ledger, to_spark
+from helpers import make_ledger, to_spark
 from pyspark.sql import functions as F
 
 from strictpast import schema
