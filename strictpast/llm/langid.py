@@ -31,6 +31,7 @@ class Settings:
     window: int = 64
     hidden: int = 16
     epochs: int = 5
+    least_steps: int = 250
     batch: int = 192
     rate: float = 0.01
     chunk: int = 256
@@ -217,7 +218,8 @@ def fit(rows: list[tuple[str, bytes]], settings: Settings = Settings()) -> Model
         data[k, : len(w)] = np.frombuffer(w, np.uint8)
         weights[k, : len(w)] = 1
     network = Network(len(langs), settings.hidden, settings.seed)
-    network.train(data, np.array([a for a, _ in cuts]), weights, settings.epochs, settings.batch, settings.rate, settings.seed)
+    epochs = max(settings.epochs, -(-settings.least_steps // -(-len(cuts) // settings.batch)))
+    network.train(data, np.array([a for a, _ in cuts]), weights, epochs, settings.batch, settings.rate, settings.seed)
     return Model(langs, network, settings)
 
 

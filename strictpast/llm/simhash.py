@@ -113,13 +113,12 @@ def links(distinct: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataF
 
     small = members.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("group")).select("group").mapInArrow(verify, "a long, b long")
     crowded = members.where(F.col("n") > bucket).select("fp").distinct()
-    flips = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-    if distance < 4:
-        raise_flips = [x for x in flips if x.bit_count() <= distance // 2]
-        flips = raise_flips if distance % 2 == 0 else flips
+    # Of two fingerprints within ``distance``, one is within ``near`` bits of a point and the other within ``reach``.
+    near, reach = distance // 2, distance - distance // 2
+    flips = [x for x in (0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))) if x.bit_count() <= reach]
     masks = F.array(*[F.lit(int(np.uint64(x).view(np.int64))) for x in flips])
-    points = crowded.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-    hubs = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
+    points = crowded.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), (F.bit_count("mask") <= near).alias("close"))
+    hubs = points.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").select("point", "b")
     far = points.join(hubs, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return small.unionByName(far).distinct()
 
