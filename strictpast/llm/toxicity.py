@@ -2,7 +2,7 @@
 
 Terms are words (runs of ASCII letters and digits and of all non-ASCII characters, lower-cased) and their beginnings of
 4, 5 and 6 bytes. The labelled sample has at most ``per_label`` rows of each label; of its terms, those that tell the
-labels apart (chi-squared) span the vector space, at most ``terms`` of them. A text's vector is its normalised TF-IDF
+labels apart (chi-squared, and a log ratio of their document shares) span the vector space, at most ``terms`` of them. A text's vector is its normalised TF-IDF
 over its whole text. The index keeps postings in blocks of sample rows with each term's largest weight per block: blocks
 whose bound can't reach the k-th best similarity are skipped, so the neighbours are exactly the nearest.
 
@@ -37,7 +37,8 @@ class Settings:
 
     per_label: int = 2500
     terms: int = 4096
-    chi: float = 15.0
+    chi: float = 25.0
+    ratio: float = 1.5
     neighbours: int = 15
     block: int = 64
 
@@ -83,7 +84,8 @@ def choose_terms(rows: DataFrame, sizes: dict[int, int], settings: Settings) ->
     m, n = float(sizes.get(0, 0)), float(sizes.get(1, 0))
     a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), m + n
     chi = total * F.pow(a * (n - b) - b * (m - a), F.lit(2.0)) / (m * n * (a + b) * (total - a - b + 1e-9))
-    best = found.where((a + b >= 3) & (a + b < total)).withColumn("chi", chi).where(F.col("chi") >= settings.chi)
+    ratio = F.log((b + 0.5) / (n + 1)) - F.log((a + 0.5) / (m + 1))
+    best = found.where((a + b >= 3) & (a + b < total) & (F.abs(ratio) >= settings.ratio)).withColumn("chi", chi).where(F.col("chi") >= settings.chi)
     return [(bytes(r[0]), int(r[1])) for r in best.orderBy(F.desc("chi"), "term").limit(settings.terms).select("term", F.expr("a + b")).collect()]
 
 
