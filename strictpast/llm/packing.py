@@ -3,7 +3,7 @@
 Documents become token ids and an end id, cut into pieces of at most ``capacity`` ids. Pieces of each length are
 counted; best-fit decreasing places counts, not pieces, so the plan has at most a few rows per length; each piece then
 takes the planned slot of its rank within its length. Ranks are exact over any number of rows: a length's pieces are
-spread over salts of bounded size, ranked inside a salt and shifted by the salts before it.
+spread over salts, ranked inside a salt and shifted by the salts before it.
 
 A null or empty text is the end id alone. Repeated rows are packed each. A null id is packed as it is. An empty table
 gives an empty result; other columns are not read.
@@ -25,8 +25,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from strictpast.llm.common import Held, once_a_process, written
 
-#: Rows of one length that are ranked by one task.
-SALT_ROWS = 50_000
+#: A length of n pieces has about sqrt(n) / SALT salts of SALT * sqrt(n) pieces each: neither the salts of a length,
+#: which are summed in one task, nor the pieces of a salt grow as the length does.
+SALT = 4
 
 
 class WordTokens:
@@ -216,14 +217,13 @@ def place(found: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     slots = plan(counts, capacity)
-    salts = F.create_map(*[x for k, v in counts.items() if v > SALT_ROWS for x in (F.lit(k), F.lit(-(-v // SALT_ROWS)))]) if max(counts.values(), default=0) > SALT_ROWS else None
-    many = F.lit(1) if salts is None else F.coalesce(F.try_element_at(salts, "length"), F.lit(1))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), many).cast("int"))
+    many = spark.createDataFrame([(k, max(1, round(v**0.5 / SALT))) for k, v in counts.items()], "length long, salts int")
+    salted = found.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece"))
-    ranked = salted.withColumn("inside", inside).join(shift, ["length", "salt"]).withColumn("rank", F.col("inside") - 1 + F.col("shift")).drop("inside", "shift", "salt")
+    ranked = salted.withColumn("inside", inside).join(shift, ["length", "salt"]).withColumn("rank", (F.col("inside") - 1 + F.col("shift")).cast("long")).drop("inside", "shift", "salt")
     table = np.array(slots, np.int64).reshape(-1, 6)
     order = np.lexsort((table[:, 1], table[:, 0]))
     held = Held(spark, table[order])  # bounded by the plan, which is bounded by the lengths

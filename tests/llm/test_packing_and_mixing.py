@@ -87,7 +87,7 @@ def test_plan_places_every_count_once(lengths):
 
 
 def test_ranks_over_salts_and_empty_table(corpus, nothing, monkeypatch):
-    monkeypatch.setattr(packing, "SALT_ROWS", 7)
+    monkeypatch.setattr(packing, "SALT", 0.3)
     found = packing.pack(corpus[1], PATH, capacity=32).toPandas()
     assert not found.duplicated(["sequence_id", "offset"]).any()
     for _, g in found.sort_values("offset").groupby("sequence_id"):
