@@ -191,6 +191,12 @@ def test_run_round_trip(spark, tmp_path, monkeypatch):
         with pytest.raises(ValueError):
             runs.load_splits(spark, run, [name])
     assert runs.load_run_raw(spark, run).count() == 2500
+    frozen = encoding.encode_frozen(to_spark(spark, pdf.head(50)), runs.load_encoder(spark, run))
+    assert frozen.count() == 50 and runs.load_rates(spark, run).log_rates["US Dollar"] == 0
+    with pytest.raises(FileNotFoundError):
+        runs.resolve_training(spark, run)
+    folder = runs.publish_training(spark, run, "lr", {"lr": 0.5}, x.columns, [{"c": 1.0, "average_precision": 0.5}])
+    assert runs.resolve_training(spark, run) == folder
     pointer = (tmp_path / "runs" / "active.json").read_text()
     monkeypatch.setattr(runs, "save_encoder", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
