@@ -151,6 +151,10 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, settings: Settings = Se
     return Classifier(domains, terms, mean, spread, softmax_fit((x - mean) / spread, y, weight, len(domains), settings.ridge))
 
 
+def _numbers(values) -> Column:
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
 def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], floor: float = 0.0, budget: float | None = None, settings: Settings = Settings()) -> tuple[Column, dict]:
     """The rate column over rows (tokens, one probability column per domain) and what it attains.
 
@@ -167,10 +171,21 @@ def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float],
     if budget is None:
         used = share > 0
         budget = float((have[used] * floor / share[used]).max()) if floor else float(have.sum())
-    goal, rate = share * max(budget, 1e-9), F.lit(max(1.0, floor))
+    goal, first = share * max(budget, 1e-9), max(1.0, floor)
+    low = F.lit(float(floor))
+    moves: list[list[float]] = []
+
+    def along(m: Column) -> Column:
+        return sum([p[i] * F.get(m, F.lit(i)) for i in range(1, k)], p[0] * F.get(m, F.lit(0)))
+
+    def walked() -> Column:
+        # Moves are data, not code: every pass runs the same compiled plan.
+        steps = F.array(*[_numbers(m) for m in moves]) if moves else F.array().cast("array<array<double>>")
+        return F.aggregate(steps, F.lit(first), lambda rate, m: F.greatest(low, rate + along(m)))
+
     start = rows.agg(*[F.sum(t * c) for c in p], *[F.sum(t * p[a] * p[b]) for a in range(k) for b in range(k)]).first()
     sums = np.array([x or 0.0 for x in start])
-    got, gram = sums[:k] * max(1.0, floor), sums[k:].reshape(k, k)
+    got, gram = sums[:k] * first, sums[k:].reshape(k, k)
     gram = gram + 1e-9 * max(np.trace(gram), 1e-9) * np.eye(k)
     step = 0
     for step in range(1, settings.passes + 1):
@@ -178,14 +193,16 @@ def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float],
         if np.abs(short).sum() <= settings.close * max(goal.sum(), 1e-9):
             break
         move = np.linalg.solve(gram, short)
-        drift = sum([p[i] * float(move[i]) for i in range(1, k)], p[0] * float(move[0]))
-        tried = [F.greatest(F.lit(float(floor)), F.col("_rate") + F.col("_drift") * length) for length in STEPS]
-        found = rows.withColumn("_rate", rate).withColumn("_drift", drift).agg(*[F.sum(t * c * x) for x in tried for c in p]).first()
+        drift = along(_numbers(move))
+        tried = [F.greatest(low, F.col("_rate") + F.col("_drift") * length) for length in STEPS]
+        found = rows.withColumn("_rate", walked()).withColumn("_drift", drift).agg(*[F.sum(t * c * x) for x in tried for c in p]).first()
         ends = np.array([x or 0.0 for x in found]).reshape(len(STEPS), k)
         best = int(((goal - ends) ** 2).sum(1).argmin())
         if ((goal - ends[best]) ** 2).sum() >= 0.999 * (short**2).sum():
             break
-        rate, got = F.greatest(F.lit(float(floor)), rate + drift * STEPS[best]), ends[best]
+        moves.append([float(x) * STEPS[best] for x in move])
+        got = ends[best]
+    rate = walked()
     return rate, {"passes": step + 1, "goal": goal.tolist(), "got": got.tolist(), "had": have.tolist()}
 
 
