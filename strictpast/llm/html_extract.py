@@ -236,7 +236,7 @@ def features(root: Node) -> Page:
 class Trees:
     """Gradient-boosted regression trees for the logistic loss with soft labels, on binned features."""
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 24, least: float = 8.0, ridge: float = 2.0):
+    def __init__(self, rounds: int = 90, depth: int = 5, rate: float = 0.2, bins: int = 24, least: float = 8.0, ridge: float = 2.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> "Trees":
@@ -406,6 +406,9 @@ class Teacher:
     def links(self, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/y">{self.words(self.r.randint(1, 3), False)}</a></li>' for _ in range(n)) + "</ul>"
 
+    def wrapped(self, tag: str, text: str) -> str:
+        return text if tag == "p" or self.r.random() < 0.5 else self.r.choice(["<p>{}</p>", "<h3>" + self.words(2) + "</h3><p>{}</p>", "<span>{}</span>", "<div><p>{}</p></div>"]).format(text)
+
     def clutter(self) -> str:
         r = self.r
         kind = r.randrange(9)
@@ -413,7 +416,7 @@ class Teacher:
         if kind == 0:
             return r.choice([f"<nav{self.attributes(['menu', 'nav'], 0.4)}>{{}}</nav>", f"<div{self.attributes(['menu', 'navbar', 'breadcrumb', 'pagination'], 1)}>{{}}</div>"]).format(self.links(r.randint(1, 9)))
         if kind == 1:
-            return f"<{(t := r.choice(['div', 'div', 'section', 'aside', 'p']))}{self.attributes(['ad', 'ads', 'advert', 'sponsored', 'promo', 'banner'], 1)}>{text(2, 30)}</{t}>"
+            return f"<{(t := r.choice(['div', 'div', 'section', 'aside', 'p']))}{self.attributes(['ad', 'ads', 'advert', 'sponsored', 'promo', 'banner'], 1)}>{self.wrapped(t, text(2, 30))}</{t}>"
         if kind == 2:
             t = r.choice(["aside", "div", "section"])
             body = r.choice([self.links(r.randint(2, 6)), f"<h3>{text(1, 3)}</h3><p>{text(5, 40)}</p>", f"<p>{text(5, 60)}</p>"])
@@ -423,14 +426,14 @@ class Teacher:
             return f"<{t}{self.attributes(['footer', 'copyright', 'legal'], 0.3 if t == 'footer' else 1)}>" + r.choice([f"&copy; {text(2, 20)}", f"<p>{text(3, 40)}</p>" + self.links(3)]) + f"</{t}>"
         if kind == 4:
             t = r.choice(["header", "header", "div"])
-            return f"<{t}{self.attributes(['header', 'masthead', 'topbar', 'site-header'], 0.3 if t == 'header' else 1)}>" + r.choice([f"<h1>{text(1, 4)}</h1>", f"<p>{text(2, 10)}</p>", f"<a href='/'>{text(1, 2)}</a>"]) + r.choice(["", self.links(4)]) + f"</{t}>"
+            return f"<{t}{self.attributes(['header', 'masthead', 'topbar', 'site-header'], 0.3 if t == 'header' else 1)}>" + r.choice([f"<h1>{text(1, 4)}</h1>", f"<p>{text(2, 10)}</p>", f"<a href='/'>{text(1, 2)}</a>", f"<a href='/'>{text(1, 2)}</a><h2>{text(1, 3)}</h2>", f"<h2>{text(1, 3)}</h2><p>{text(2, 8)}</p>"]) + r.choice(["", self.links(4)]) + f"</{t}>"
         if kind == 5:
-            return f"<{(t := r.choice(['div', 'div', 'section', 'p']))}{self.attributes(['cookie', 'notice', 'consent', 'alert', 'newsletter', 'subscribe', 'popup'], 1)}>{text(4, 40)}{r.choice(['', '<button>ok</button>'])}</{t}>"
+            return f"<{(t := r.choice(['div', 'div', 'section', 'p']))}{self.attributes(['cookie', 'notice', 'consent', 'alert', 'newsletter', 'subscribe', 'popup'], 1)}>{self.wrapped(t, text(4, 40))}{r.choice(['', '<button>ok</button>'])}</{t}>"
         if kind == 6:
             each = "".join(r.choice(["<div{}>{}</div>", "<li{}>{}</li>", "<p{}>{}</p>", "<article{}>{}</article>"]).format(self.attributes(["comment", "reply"], 0.6), f"<b>{text(1, 2)}</b> " * (r.random() < 0.5) + text(3, 60)) for _ in range(r.randint(1, 7)))
             return f"<{(t := r.choice(['div', 'section', 'ol', 'ul']))}{self.attributes(['comments', 'discussion', 'replies', 'comment-list', 'reader-comments'], 1)}>{r.choice(['', '<h2>' + text(1, 2) + '</h2>'])}{each}</{t}>"
         if kind == 7:
-            return f"<form{self.attributes(['login', 'search', 'signup', 'contact'], 0.5)}>" + r.choice(["", f"<p>{text(2, 15)}</p>"]) + "".join(f"<label>{text(1, 3)}</label><input name=a>" for _ in range(r.randint(1, 4))) + "<button>go</button></form>"
+            return f"<form{self.attributes(['login', 'search', 'signup', 'contact'], 0.5)}>" + r.choice(["", "", f"<p>{text(2, 15)}</p>", f"<h3>{text(1, 3)}</h3>"]) + "".join(f"<label>{text(1, 3)}</label><input name=a>" for _ in range(r.randint(1, 4))) + "<button>go</button></form>"
         return f"<div{self.attributes(['tags', 'share', 'social', 'related', 'popular'], 1)}>" + " ".join(f'<a href="/z">{self.words(r.randint(1, 4), False)}</a>' for _ in range(r.randint(1, 8))) + "</div>"
 
     def page(self) -> str:
@@ -440,7 +443,7 @@ class Teacher:
         title = f"<h1>{self.words(r.randint(1, 10), False)}</h1>"
         head = r.choice([title, title, f"<header>{title}</header>", ""])
         inner = "\x01" + head + body
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
             at = inner.find("<p", r.randrange(len(inner)))
             if at > 0:
                 inner = inner[:at] + "\x02" + self.clutter() + "\x01" + inner[at:]
@@ -500,7 +503,7 @@ def _strip(node: Node) -> None:
         todo += node.children
 
 
-def learned(pages: int = 700, seed: int = 5) -> Trees:
+def learned(pages: int = 1000, seed: int = 8) -> Trees:
     """The trees of ``pages`` generated lessons."""
     teacher = Teacher(seed)
     lessons = [teacher.lesson() for _ in range(pages)]
