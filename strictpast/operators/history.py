@@ -60,26 +60,70 @@ def account_grid(pairs: DataFrame) -> DataFrame:
     return roles.groupBy("bank", "account", "sec").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def _looked_back(grid: DataFrame, windows: dict[str, int], state: State | None) -> DataFrame:
+def _looked_back(grid: DataFrame, windows: dict[str, int], state: State | None, span: int | None = None) -> DataFrame:
     """Grid rows with their account's strict past: p_<sum>, last_out, last_in, first_out, out_times, w_<window>_<sum>."""
-    by = Window.partitionBy("bank", "account").orderBy("sec")
+    rows = grid if state is None else grid.withColumn("now", F.lit(True)).unionByName(state.recent.withColumn("now", F.lit(False)))
+    own = ["bank", "account"]
+    seen = _past_of_spans(rows, windows, span) if span else _past_of_accounts(rows, windows)
+    if state is None:
+        return seen
+    seen = seen.where("now").drop("now")
+    old = state.archive.select(*own, *[F.col(c).alias(f"a_{c}") for c in [*SUMS, *_ENDS]])
+    return _added(seen.join(old, own, "left"), [*own, "sec"], [n for n in seen.columns if n.startswith("w_")])
+
+
+#: What the past keeps besides sums.
+_ENDS = ["first_out", "last_out", "last_in", "out_times"]
+
+
+def _added(df: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    """A past (p_, ends) joined with an earlier one (a_, null where there is none), as one past."""
+    out = [(F.col(f"p_{c}") + F.coalesce(f"a_{c}", F.lit(0))).alias(f"p_{c}") for c in SUMS]
+    out += [F.coalesce("last_out", "a_last_out").alias("last_out"), F.coalesce("last_in", "a_last_in").alias("last_in"), F.coalesce("a_first_out", "first_out").alias("first_out"), (F.col("out_times") + F.coalesce("a_out_times", F.lit(0))).alias("out_times")]
+    return df.select(*keys, *out, *rest)
+
+
+def _frames(by, windows: dict[str, int], real: Column) -> dict[str, Column]:
+    """The past within a partition; all-time sums count rows where ``real`` holds, windows count all."""
     past = by.rangeBetween(Window.unboundedPreceding, -1)
-    out_sec = F.when(F.col("out_n") > 0, F.col("sec"))
-    in_sec = F.when(F.col("in_n") > 0, F.col("sec"))
-    made = {f"p_{c}": F.coalesce(F.sum(c).over(past), F.lit(0)) for c in SUMS}
+    out_sec = F.when(real & (F.col("out_n") > 0), F.col("sec"))
+    in_sec = F.when(real & (F.col("in_n") > 0), F.col("sec"))
+    made = {f"p_{c}": F.coalesce(F.sum(F.when(real, F.col(c))).over(past), F.lit(0)) for c in SUMS}
     made |= {"last_out": F.max(out_sec).over(past), "last_in": F.max(in_sec).over(past), "first_out": F.min(out_sec).over(past), "out_times": F.count(out_sec).over(past)}
     for w, size in windows.items():
         frame = by.rangeBetween(-(size - 1), -1)
         made |= {f"w_{w}_{c}": F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in ("out_n", "out_paid", "out_new", "in_n", "in_received", "in_new")}
-    if state is None:
-        return grid.select("bank", "account", "sec", *[e.alias(n) for n, e in made.items()])
-    both = grid.withColumn("now", F.lit(True)).unionByName(state.recent.withColumn("now", F.lit(False)))
-    seen = both.select("bank", "account", "sec", "now", *[e.alias(n) for n, e in made.items()]).where("now").drop("now")
-    old = state.archive.select("bank", "account", *[F.col(c).alias(f"a_{c}") for c in [*SUMS, "first_out", "last_out", "last_in", "out_times"]])
-    joined = seen.join(old, ["bank", "account"], "left")
-    added = [(F.col(f"p_{c}") + F.coalesce(f"a_{c}", F.lit(0))).alias(f"p_{c}") for c in SUMS]
-    added += [F.coalesce("last_out", "a_last_out").alias("last_out"), F.coalesce("last_in", "a_last_in").alias("last_in"), F.coalesce("a_first_out", "first_out").alias("first_out"), (F.col("out_times") + F.coalesce("a_out_times", F.lit(0))).alias("out_times")]
-    return joined.select("bank", "account", "sec", *added, *[n for n in made if n.startswith("w_")])
+    return made
+
+
+def _past_of_accounts(rows: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """An account per window partition."""
+    made = _frames(Window.partitionBy("bank", "account").orderBy("sec"), windows, F.lit(True))
+    return rows.select("bank", "account", "sec", *[c for c in rows.columns if c == "now"], *[e.alias(n) for n, e in made.items()])
+
+
+def _past_of_spans(rows: DataFrame, windows: dict[str, int], span: int) -> DataFrame:
+    """A span of an account per window partition, for accounts too busy for one task.
+
+    Rows that windows of the next span can reach are copied into it; all-time values are those of the span plus the
+    totals of the account's earlier spans.
+    """
+    if span < max(windows.values()):
+        raise ValueError("a span must be as long as the longest window")
+    mark = F.floor(F.col("sec") / span).cast("long")
+    reach = F.col("sec") >= (mark + 1) * span - (max(windows.values()) - 1)
+    places = F.array_compact(F.array(F.struct(mark.alias("span"), F.lit(False).alias("copy")), F.when(reach, F.struct((mark + 1).alias("span"), F.lit(True).alias("copy")))))
+    cut = rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.*")
+    made = _frames(Window.partitionBy("bank", "account", "span").orderBy("sec"), windows, ~F.col("copy"))
+    kept = [c for c in rows.columns if c == "now"]
+    inside = cut.select("bank", "account", "sec", "span", "copy", *kept, *[e.alias(n) for n, e in made.items()]).where(~F.col("copy"))
+    out_sec, in_sec = F.when(F.col("out_n") > 0, F.col("sec")), F.when(F.col("in_n") > 0, F.col("sec"))
+    totals = rows.groupBy("bank", "account", mark.alias("span")).agg(*[F.sum(c).alias(c) for c in SUMS], F.min(out_sec).alias("first_out"), F.max(out_sec).alias("last_out"), F.max(in_sec).alias("last_in"), F.count(out_sec).alias("out_times"))
+    before = Window.partitionBy("bank", "account").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    join_up = {"first_out": F.min, "last_out": F.max, "last_in": F.max}
+    earlier = totals.select("bank", "account", "span", *[join_up.get(c, F.sum)(c).over(before).alias(f"a_{c}") for c in [*SUMS, *_ENDS]])
+    joined = inside.join(earlier, ["bank", "account", "span"])
+    return _added(joined, ["bank", "account", "sec", *kept], [n for n in made if n.startswith("w_")])
 
 
 def _check(windows: dict[str, int]) -> None:
@@ -127,14 +171,15 @@ def features(paid: Column, received: Column, windows: dict[str, int]) -> dict[st
     return out
 
 
-def history(rows: DataFrame, windows: dict[str, int] = WINDOWS, state: State | None = None, names: list[str] | None = None) -> DataFrame:
+def history(rows: DataFrame, windows: dict[str, int] = WINDOWS, state: State | None = None, names: list[str] | None = None, span: int | None = None) -> DataFrame:
     """``rows`` (PAIR, sec, paid, received >= 0 and any other columns) with history features added, as doubles.
 
-    ``names`` picks features; columns that none of them needs are pruned from the windows by Catalyst.
+    ``names`` picks features; columns that none of them needs are pruned from the windows by Catalyst. ``span`` (seconds)
+    splits accounts over tasks by time; without it a task holds the grid of an account.
     """
     _check(windows)
     pairs = pair_grid(rows, state)
-    past = _looked_back(account_grid(pairs), windows, state)
+    past = _looked_back(account_grid(pairs), windows, state, span)
     numbers = [n for n in past.columns if n not in ("bank", "account", "sec")]
     sender = past.select(F.col("bank").alias("from_bank"), F.col("account").alias("from_account"), "sec", *[F.col(n).alias(f"s_{n}") for n in numbers])
     receiver = past.select(F.col("bank").alias("to_bank"), F.col("account").alias("to_account"), "sec", *[F.col(n).alias(f"r_{n}") for n in numbers])

@@ -73,6 +73,20 @@ def test_equals_brute_force(spark):
     np.testing.assert_allclose(found, brute(pdf, WINDOWS), rtol=1e-5, atol=1e-5)
 
 
+@pytest.mark.parametrize("span", [7200, 10_000, 86_400])
+def test_spans_equal_whole_accounts(spark, span):
+    pdf = history_input(make_ledger(400, 3, 8, 13))
+    df = spark.createDataFrame(pdf)
+    whole = collected(history.history(df, WINDOWS))
+    np.testing.assert_allclose(collected(history.history(df, WINDOWS, span=span)), whole, rtol=1e-9)
+    cut = int(pdf["sec"].median())
+    state = incremental.kept(history.next_state(df.where(F.col("sec") < cut), WINDOWS))
+    late = df.where(F.col("sec") >= cut)
+    np.testing.assert_allclose(collected(history.history(late, WINDOWS, state, span=span)), collected(history.history(late, WINDOWS, state)), rtol=1e-9)
+    with pytest.raises(ValueError):
+        history.history(df, WINDOWS, span=60)
+
+
 @settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_any_batches_equal_one_pass(spark, seed):
