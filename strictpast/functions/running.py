@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strictpast.plans.storage import materialised
+
 
 def running_sums(df: DataFrame, by: str, sums: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
     """Adds ``run_<c>`` for each c: the sum over all rows before and at the row's value of ``by``.
@@ -12,6 +14,7 @@ def running_sums(df: DataFrame, by: str, sums: list[str], descending: bool = Fal
     Rows are cut into ordered buckets at approximate quantiles; each bucket is summed on its own and shifted by the
     totals of the buckets before it (at most ``parts`` rows). ``by`` should be distinct per row or ties share the sum.
     """
+    df = materialised(df, "running")  # read three times
     edges = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     edges = sorted(set(edges))
     kind = df.schema[by].dataType

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strictpast.functions.expressions import capped_ratio, safe_log1p
+from strictpast.plans.storage import materialised
 
 WINDOWS = {"1h": 3600, "24h": 86400}
 PAIR = ["from_bank", "from_account", "to_bank", "to_account"]
@@ -174,12 +175,13 @@ def features(paid: Column, received: Column, windows: dict[str, int]) -> dict[st
 def history(rows: DataFrame, windows: dict[str, int] = WINDOWS, state: State | None = None, names: list[str] | None = None, span: int | None = None) -> DataFrame:
     """``rows`` (PAIR, sec, paid, received >= 0 and any other columns) with history features added, as doubles.
 
-    ``names`` picks features; columns that none of them needs are pruned from the windows by Catalyst. ``span`` (seconds)
+    The grids are written to the shared folder when this is called; ``names`` picks features of the result. ``span`` (seconds)
     splits accounts over tasks by time; without it a task holds the grid of an account.
     """
     _check(windows)
-    pairs = pair_grid(rows, state)
-    past = _looked_back(account_grid(pairs), windows, state, span)
+    # Both grids are read more than once, with different columns: written, they are computed once.
+    pairs = materialised(pair_grid(rows, state), "pairs")
+    past = materialised(_looked_back(account_grid(pairs), windows, state, span), "past")
     numbers = [n for n in past.columns if n not in ("bank", "account", "sec")]
     sender = past.select(F.col("bank").alias("from_bank"), F.col("account").alias("from_account"), "sec", *[F.col(n).alias(f"s_{n}") for n in numbers])
     receiver = past.select(F.col("bank").alias("to_bank"), F.col("account").alias("to_account"), "sec", *[F.col(n).alias(f"r_{n}") for n in numbers])
