@@ -78,13 +78,15 @@ class Held:
         return self._open
 
 
-def bounded_sample(rows: DataFrame, group: str, limit: int, key: str = "id") -> DataFrame:
+def bounded_sample(rows: DataFrame, group: str, limit: int, key: str = "id", most_groups: int = 256) -> DataFrame:
     """The ``limit`` rows of each group whose keys hash lowest (all, if fewer), as rows with their number ``rn``.
 
-    Groups are counted first, so that only about twice the rows that stay go through the ranking, whatever a group's
+    At most the ``most_groups`` largest groups are sampled, so the sample is bounded whatever the group column holds. Groups are counted first, so that only about twice the rows that stay go through the ranking, whatever a group's
     size. The cut is by hash alone: with distinct keys a group falls short of its limit only if the hash fails it.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    found = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(most_groups)
+    counts = {r[0]: r[1] for r in found.collect()}
+    rows = rows.where(F.col(group).isin(list(counts))) if len(counts) == most_groups else rows
     chance = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(1.0)
     for name, n in counts.items():
