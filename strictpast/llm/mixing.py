@@ -25,6 +25,7 @@ from strictpast.llm.common import bounded_sample, written
 #: Step lengths that each pass tries.
 STEPS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 _SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,6 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "high")
 
 
-def tokens_of(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, _SPACE))).otherwise(0).cast("long")
-
-
 def _stems(text: Column, prefix: int) -> Column:
     """Distinct beginnings of the text's words."""
     return F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]*(\p{L}{1,%d})\p{L}*" % prefix, "$1 "), " "))
@@ -58,7 +54,7 @@ def _stems(text: Column, prefix: int) -> Column:
 def _prepared(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.select("id", "text", F.split(F.regexp_replace("text", f"^{_SPACE}|{_SPACE}$", ""), _SPACE).alias("words"))
+    rows = rows.select("id", "text", F.split(F.btrim("text", F.lit(_BLANKS)), _SPACE).alias("words"))
     words = F.when(F.length(F.element_at("words", 1)) > 0, F.size("words")).otherwise(0)
     return rows.select(
         "id",
