@@ -9,8 +9,8 @@ seen once.
 
 Word counts, class priors and bucket sums are taken over all training documents, by shuffles that grow with the
 input. Weights are learned in rounds: learners take gradient steps on their share of the round's documents, and the
-mean of their weights, weighted by tokens, starts the next round. Every round takes a fresh sixteenth of the training
-documents. Scoring runs over all documents in sparse numpy batches. Words outside the ``listed`` most frequent are
+mean of their weights, weighted by tokens, starts the next round. Every round takes a fresh quarter of the training
+documents, so the rounds learn from all of them. Scoring runs over all documents in sparse numpy batches. Words outside the ``listed`` most frequent are
 looked up by a join, so nothing that grows with the vocabulary is broadcast.
 
 A null or empty text has just the end token. Repeated rows are scored each. A null id is held out or not as the empty
@@ -36,18 +36,24 @@ from strictpast.llm.common import Held, crc32_of_id, written
 
 @dataclass(frozen=True)
 class Settings:
+    """A round learns from one of ``share`` parts of the training documents; all parts have their round."""
+
     classes: int = 32
     members: int = 48
     buckets: int = 16
     listed: int = 1 << 17
     hashed: int = 1 << 14
     rounds: int = 4
-    share: int = 16
+    share: int = 4
     learner_tokens: int = 2_000_000
     most_learners: int = 400
     batch: int = 8192
     rate: float = 0.25
 
+    def __post_init__(self):
+        if self.rounds < self.share:
+            raise ValueError("fewer rounds than shares leave training documents out")
+
     @property
     def frequent(self) -> int:
         return self.classes * self.members

@@ -140,6 +140,18 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_every_training_document_moves_the_weights(spark):
+    s = maxent_lm.Settings()
+    words = [f"w{i}".encode() for i in range(s.frequent)]
+    vocabulary = maxent_lm.Vocabulary(words, np.ones(s.frequent, np.int64), s.frequent, s.frequent, np.zeros(s.buckets), np.zeros(s.buckets))
+    rows = [(i, True, 2, np.array([i, 1000], np.uint16).tobytes()) for i in range(60)] + [(60, False, 2, np.array([60, 1000], np.uint16).tobytes())]
+    model = maxent_lm.train(spark.createDataFrame(rows, "uid long, train boolean, n_tokens long, ids binary"), maxent_lm.Model(s, vocabulary), s)
+    moved = (model.one[:61] != 0).any(1)
+    assert moved[:60].all() and not moved[60]
+    with pytest.raises(ValueError):
+        maxent_lm.Settings(rounds=4, share=16)
+
+
 # toxicity
 
 
