@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strictpast.llm.common import Held
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]++|"[^"]{0,2000}"|'[^']{0,2000}'|["'])*+)>?""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "xmp", "noscript", "iframe", "template")}

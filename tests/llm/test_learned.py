@@ -245,3 +245,10 @@ def test_broken_pages(spark, trees):
     assert len(found) == len(rows) and all(n == len(t) for (_, n), t in found.items())
     assert found[(1, 0)] == found[(2, 0)] == found[(9, 0)] == "" and any("long words here" in t for t in found.values())
     assert html_extract.extract_pages(df.limit(0), trees).count() == 0
+
+
+def test_long_attribute_values_are_read_whole():
+    for quote in "\"'":
+        root = html_extract.parse(f"<div data-state={quote}{'a' * 2500} x > y secret{quote}>Body</div>")
+        assert [x for x in root.items if isinstance(x, str)] == [] and root.children[0].items == ["Body"]
+    assert [c.items for c in html_extract.parse('<p class="x>one</p><p>two</p>').children] == [["one"], ["two"]]
