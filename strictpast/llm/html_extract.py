@@ -106,9 +106,6 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last:
                 here = last.parent
-        if here.depth > 250:  # deeper elements are read as parts of this one
-            here.items.append(" ")
-            continue
         words, hidden = [], tag in _SKIP
         if found[3]:
             for name, value in _ATTRIBUTE.findall(found[3]):

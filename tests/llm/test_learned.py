@@ -252,3 +252,11 @@ def test_long_attribute_values_are_read_whole():
         root = html_extract.parse(f"<div data-state={quote}{'a' * 2500} x > y secret{quote}>Body</div>")
         assert [x for x in root.items if isinstance(x, str)] == [] and root.children[0].items == ["Body"]
     assert [c.items for c in html_extract.parse('<p class="x>one</p><p>two</p>').children] == [["one"], ["two"]]
+
+
+def test_deep_elements_are_opened():
+    node = html_extract.parse("<div>" * 400 + "<script>var x</script><p>one</p><p>two</p>" + "</div>" * 400 + "<p>end</p>")
+    assert [c.tag for c in node.children] == ["div", "p"]
+    for _ in range(400):
+        node = node.children[0]
+    assert [c.tag for c in node.children] == ["script", "p", "p"] and node.children[0].hidden and [c.items for c in node.children] == [[], ["one"], ["two"]]
