@@ -5,7 +5,8 @@ probabilities are the mean over all its positions. It is trained on the driver i
 time, on a sample bounded by ``Settings.docs_per_lang``; every document is then labelled over its whole text.
 
 Long texts are read in chunks of ``chunk`` bytes with ``context`` bytes on either side, so states at a chunk's edge
-have seen their surroundings. A null text, or one without a letter, is ``und`` with score 0. Null languages are not
+have seen their surroundings. A score depends on the text alone: each lane of a batch is read from its own two ends, so
+neither the rows beside it nor the layout of the input matter. A null text, or one without a letter, is ``und`` with score 0. Null languages are not
 learned from; without any labelled row all is ``und``. Ties go to the language first in alphabetical order. Repeated rows
 get equal answers, a null id is kept, an empty table gives an empty result, other columns are not read.
 """
@@ -40,6 +41,14 @@ class Settings:
     seed: int = 7
 
 
+def flipped(x: np.ndarray, lengths: np.ndarray | None) -> np.ndarray:
+    """(steps, lanes, ...) with each lane's first ``lengths`` steps in reverse order, the rest in place."""
+    if lengths is None or (lengths == len(x)).all():
+        return x[::-1]
+    step = np.arange(len(x))[:, None]
+    return x[np.where(step < lengths, lengths - 1 - step, step), np.arange(x.shape[1])]
+
+
 class Network:
     """Two gated recurrent layers, one in each direction, and a softmax over their joint state at each position."""
 
@@ -56,40 +65,55 @@ class Network:
             "b": np.zeros(classes, f),
         }
 
-    @staticmethod
-    def _sigmoid(x: np.ndarray) -> np.ndarray:
-        np.multiply(x, 0.5, out=x)
-        np.tanh(x, out=x)
-        np.multiply(x, 0.5, out=x)
-        np.add(x, 0.5, out=x)
-        return x
-
-    def logits(self, data: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """(steps, lanes, classes) for bytes (lanes, steps). ``keep`` gathers what training needs."""
+    def logits(self, data: np.ndarray, lengths: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+        """(steps, lanes, classes) for bytes (lanes, steps). ``keep`` gathers what training needs.
+
+        The backward layer starts at the end of each lane's own ``lengths`` bytes, so padding is never before a byte
+        in either direction.
+        """
         lanes, steps = data.shape
-        h, n = self.hidden, np.float32
-        E, U, c, V = (self.p[k] for k in "EUcV")
-        state = np.zeros((2, lanes, h), n)
-        out = np.zeros((steps, lanes, self.classes), n)
-        across = np.ascontiguousarray(data.T)
-        pre = np.empty((2, lanes, 3 * h), n)
-        own = np.empty((2, lanes, 3 * h), n)
-        for t in range(steps):
-            s = steps - 1 - t
-            np.take(E[0], across[t], axis=0, out=pre[0])
-            np.take(E[1], across[s], axis=0, out=pre[1])
-            np.matmul(state, U, out=own)
-            gates = self._sigmoid(pre[:, :, : 2 * h] + own[:, :, : 2 * h])
-            update, reset = gates[:, :, :h], gates[:, :, h:]
-            inner = own[:, :, 2 * h :] + c
-            fresh = np.tanh(pre[:, :, 2 * h :] + reset * inner)
-            if keep is not None:
-                keep.append((state, update, reset, inner, fresh))
-            state = fresh + update * (state - fresh)
-            out[t] += state[0] @ V[0]
-            out[s] += state[1] @ V[1]
+        h, kind = self.hidden, self.p["E"].dtype
+        # Lanes lie along the last axis. A sigmoid is 1 / (1 + exp(-x)), a tanh 1 - 2 / (1 + exp(2x)): weights carry the factors.
+        factor = np.full((3 * h, 1), -1, kind)
+        factor[2 * h :] = 2
+        E, U, c, V = (np.ascontiguousarray(self.p[k].transpose(0, 2, 1)) for k in "EUcV")
+        E, U, c = E * factor, U * factor, c * 2
+        state, one = np.zeros((2, h, lanes), kind), np.ones((), kind)
+        across = np.ascontiguousarray(data.T).astype(np.intp)
+        other = flipped(across, lengths)
+        out, back = (np.empty((steps, self.classes, lanes), kind) for _ in range(2))
+        pre, own, top = np.empty((2, 3 * h, lanes), kind), np.empty((2, 3 * h, lanes), kind), np.empty((2, self.classes, lanes), kind)
+        gates, fresh, inner = pre[:, : 2 * h], pre[:, 2 * h :], own[:, 2 * h :]
+        update, reset = pre[:, :h], pre[:, h : 2 * h]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.take(E[0], across[t], axis=1, out=pre[0], mode="clip")
+                np.take(E[1], other[t], axis=1, out=pre[1], mode="clip")
+                np.matmul(U, state, out=own)
+                gates += own[:, : 2 * h]
+                np.exp(gates, out=gates)
+                gates += one
+                np.divide(one, gates, out=gates)
+                inner += c
+                if keep is not None:
+                    held = [x.transpose(0, 2, 1).copy() for x in (state, update, reset, inner * 0.5)]
+                inner *= reset
+                fresh += inner
+                np.exp(fresh, out=fresh)
+                fresh += one
+                np.divide(-2 * one, fresh, out=fresh)
+                fresh += one
+                if keep is not None:
+                    keep.append((*held, fresh.transpose(0, 2, 1).copy()))
+                state -= fresh
+                state *= update
+                state += fresh
+                np.matmul(V, state, out=top)
+                out[t], back[t] = top
         if keep is not None:
-            keep.append(state)
+            keep.append(state.transpose(0, 2, 1).copy())
+        out, back = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (out, back))
+        out += flipped(back, lengths)
         out += self.p["b"]
         return out
 
@@ -105,21 +129,23 @@ class Network:
         lanes, steps = data.shape
         h = self.hidden
         keep: list = []
-        prob = self.soft(self.logits(data, keep))
+        lengths = (weights > 0).sum(1)
+        other = flipped(data.T, lengths)
+        prob = self.soft(self.logits(data, lengths, keep))
         last = keep.pop()
         rows = np.arange(lanes)
         loss = -float((np.log(prob[:, rows, labels] + 1e-9) * weights.T).sum() / weights.sum())
         prob[:, rows, labels] -= 1
         prob *= (weights.T / weights.sum())[:, :, None]
+        behind = flipped(prob, lengths)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["b"] = prob.sum((0, 1))
         E, U, V = self.p["E"], self.p["U"], self.p["V"]
         down = np.zeros((2, lanes, h), np.float32)
         after = last
         for t in range(steps - 1, -1, -1):
-            s = steps - 1 - t
             state, update, reset, inner, fresh = keep[t]
-            top = np.stack([prob[t], prob[s]])
+            top = np.stack([prob[t], behind[t]])
             g["V"] += after.transpose(0, 2, 1) @ top
             down = down + top @ V.transpose(0, 2, 1)
             d_fresh = down * (1 - update) * (1 - fresh * fresh)
@@ -130,9 +156,9 @@ class Network:
             d_own = np.concatenate([d_update, d_reset, d_inner], 2)
             d_pre = np.concatenate([d_update, d_reset, d_fresh], 2)
             g["U"] += state.transpose(0, 2, 1) @ d_own
-            for k, at in ((0, t), (1, s)):
-                order = np.argsort(data[:, at], kind="stable")
-                sorted_bytes = data[order, at]
+            for k, now in ((0, data[:, t]), (1, other[t])):
+                order = np.argsort(now, kind="stable")
+                sorted_bytes = now[order]
                 first = np.flatnonzero(np.r_[True, sorted_bytes[1:] != sorted_bytes[:-1]])
                 g["E"][k, sorted_bytes[first]] += np.add.reduceat(d_pre[k][order], first, axis=0)
             down = down * update + d_own @ U.transpose(0, 2, 1)
@@ -187,12 +213,14 @@ class Model:
             wide = max(b - a for _, a, b in part) + 2 * pad
             data = np.zeros((len(part), wide), np.uint8)
             inside = np.zeros((len(part), wide), bool)
+            lengths = np.empty(len(part), np.int64)
             for k, (i, a, b) in enumerate(part):
                 lo = max(0, a - pad)
                 body = texts[i][lo : b + pad]
+                lengths[k] = len(body)
                 data[k, : len(body)] = np.frombuffer(body, np.uint8)
                 inside[k, a - lo : b - lo] = True
-            prob = self.network.soft(self.network.logits(data))
+            prob = self.network.soft(self.network.logits(data, lengths))
             prob *= inside.T[:, :, None]
             np.add.at(sums, [i for i, _, _ in part], prob.sum(0, dtype=np.float64))
         return sums / np.maximum(1, [len(x) for x in texts])[:, None]

@@ -90,6 +90,35 @@ def test_chunks_agree_with_one_reading():
     assert (model.probabilities([b""])[0] == 0).all()
 
 
+def test_scores_depend_on_the_text_alone(corpus):
+    rows, df = corpus
+    model = langid.Model(["a", "b", "c"], langid.Network(3, 16, 3), langid.Settings(lanes=64))
+    texts = [t.encode() for _, t, *_ in rows if t and len(t) < 5000]
+    apart = np.concatenate([model.probabilities([t]) for t in texts])
+    np.testing.assert_allclose(model.probabilities(texts), apart, atol=1e-6, rtol=0)
+    np.testing.assert_allclose(model.probabilities(texts[::-1])[::-1], apart, atol=1e-6, rtol=0)
+    one, two = ({r.doc_id: r.score for r in langid.predict(df.repartition(n), model).collect()} for n in (2, 13))
+    assert max(abs(one[i] - two[i]) for i in one) < 1e-6
+
+
+def test_gradient_of_short_windows_is_right():
+    net = langid.Network(3, 4, 1)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    r = np.random.default_rng(0)
+    data, labels = r.integers(1, 256, (5, 6)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    weights = (np.arange(6) < np.array([6, 3, 1, 4, 6])[:, None]).astype(np.float32)
+    data[weights == 0] = 0
+    _, g = net.gradient(data, labels, weights)
+    for k in net.p:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        net.p[k][at] += 1e-4
+        up = net.gradient(data, labels, weights)[0]
+        net.p[k][at] -= 2e-4
+        down = net.gradient(data, labels, weights)[0]
+        net.p[k][at] += 1e-4
+        assert (up - down) / 2e-4 == pytest.approx(g[k][at], rel=0.02, abs=1e-5), k
+
+
 # language model
 
 SMALL = maxent_lm.Settings(classes=4, members=8, buckets=4, listed=60, hashed=256, share=4, learner_tokens=3000, batch=512)
