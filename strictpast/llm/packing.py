@@ -48,6 +48,8 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        #: Added tokens are found in a text before it is lower-cased, so lower-casing must not make one.
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -87,14 +89,16 @@ class WordTokens:
         parts, need = [], set()
         for word in missing:
             core = word.rstrip(self.TAIL)
+            low = core.lower()
+            if low != core and any(x in low for x in self.added):
+                need.add(word)
             # Lower case is the tokenizer's own first step; a tail after an ASCII letter or digit is a run of its own.
-            if len(core) == len(word):
-                low = word.lower()
+            elif len(core) == len(word):
                 if low != word:
                     parts.append((word, low, b""))
                 need.add(low)
             elif core and core[-1:].isalnum():
-                low, tail = core.lower(), word[len(core) :]
+                tail = word[len(core) :]
                 parts.append((word, low, tail))
                 need.add(low)
                 need.add(tail)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from strictpast.llm import mixing, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["It's 'tis don't!! I'LL <|endoftext|>x a<|startoftext|>", "x y z ｚｆ 1234.5% café CAFÉ café", "İstanbul ΣΑΣ ſ ǅ \x1c b\x85c …— 'S'll", "", "\n\t ", "日本語。 한국 ½ ²", "a.'s ... ''' 're"]
+ODD = ["It's 'tis don't!! I'LL <|endoftext|>x a<|startoftext|>", "x y z ｚｆ 1234.5% café CAFÉ café", "İstanbul ΣΑΣ ſ ǅ \x1c b\x85c …— 'S'll", "", "\n\t ", "日本語。 한국 ½ ²", "a.'s ... ''' 're", "<|ENDOFTEXT|> <|StartOfText|>x <|endoftext|><|EndOfText|> a<|ENDOFTEXT|>b. <|STARTOFTEXT|>!"]
 
 
 @pytest.fixture(scope="module")
