@@ -1,15 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words (runs of ASCII letters and digits and of all non-ASCII characters, lower-cased) and their beginnings of
-4, 5 and 6 bytes. The labelled sample has at most ``per_label`` rows of each label; of its terms, those that tell the
-labels apart (chi-squared, and a log ratio of their document shares) span the vector space, at most ``terms`` of them. A text's vector is its normalised TF-IDF
-over its whole text. The index keeps postings in blocks of sample rows with each term's largest weight per block: blocks
-whose bound can't reach the k-th best similarity are skipped, so the neighbours are exactly the nearest.
+Terms are words: runs of ASCII letters and digits and of all non-ASCII characters, lower-cased. The labelled sample has
+at most ``per_label`` rows of each label, and every term of its whole texts is a dimension. A term weighs its inverse
+document frequency times how far its share among toxic rows stands from that of all rows, in standard deviations and
+with a floor above 0, so no term is dropped and terms that tell nothing count little; a text's vector is (1 + log
+count) x weight over its whole text, of length 1. The index keeps postings in blocks of alike sample rows with each
+term's largest weight per block: blocks whose bound can't reach the k-th best similarity are skipped, so the neighbours
+are exactly the nearest.
 
 Neighbours vote with weights that grow as the distance shrinks, corrected for how the sample was drawn; votes become
-probabilities by a logistic fit on leave-one-out votes of the sample. A text without any term of the space, such as a
-null or empty one, gets the rate of labelled texts like it. Equal similarities go to the row first in the sample's order
-(hash of the id). Null labels or ids are not learned from; of repeated labels for an id each counts. Without both
+probabilities by a logistic fit on leave-one-out votes of the sample. A text that shares no term with the sample, such
+as a null or empty one, gets the rate of labelled texts like it. Equal similarities go to the row first in the sample's
+order (hash of the id). Null labels or ids are not learned from; of repeated labels for an id each counts. Without both
 labels every score is the (smoothed) rate of what there is, 0 without any. Repeated rows are scored each; an empty
 table gives an empty result; other columns are not read.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +31,14 @@ from strictpast.llm.common import Held, bounded_sample, crc32_of_id, written
 
 #: ASCII letters and digits and all other bytes stay, the rest separates.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_CUTS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label`` bounds the labelled sample, ``terms`` the vector space."""
+    """``per_label`` bounds the labelled sample, ``floor`` is what a term without any tie to the label counts."""
 
     per_label: int = 2500
-    terms: int = 4096
-    chi: float = 25.0
-    ratio: float = 1.5
+    floor: float = 0.1
     neighbours: int = 15
     block: int = 64
 
@@ -47,11 +47,6 @@ def words(text: str | None) -> Counter:
     return Counter((text or "").lower().encode().translate(_WORDS).split())
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its beginnings marked with a star."""
-    return [word, *(word[:n] + b"*" for n in _CUTS if len(word) >= n)]
-
-
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, int]]:
     """(rn, id, toxic, text) of the sample, and how many labelled rows there are of each label."""
     named = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -61,104 +56,121 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Data
     return written(rows.select("rn", "id", "toxic", "text"), "toxic-sample"), counts
 
 
-def choose_terms(rows: DataFrame, sizes: dict[int, int], settings: Settings) -> list[tuple[bytes, int]]:
-    """(term, documents that have it): the terms that tell the labels apart best."""
+def counted(rows: DataFrame) -> pa.Table:
+    """(rn, id, toxic, terms, times) of the sample's rows, in the sample's order."""
 
     def run(batches):
-        held = (Counter(), Counter())
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic].update({t for w in words(text) for t in terms_of(w)})
-                if len(held[0]) + len(held[1]) > 400_000:
-                    yield out(held)
-        yield out(held)
-
-    def out(held):
-        names = list(held[0].keys() | held[1].keys())
-        got = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([h[n] for n in names], pa.int64()) for h in held)], ["term", "clean", "toxic"])
-        for h in held:
-            h.clear()
-        return got
-
-    found = rows.select("toxic", "text").mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    m, n = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), m + n
-    chi = total * F.pow(a * (n - b) - b * (m - a), F.lit(2.0)) / (m * n * (a + b) * (total - a - b + 1e-9))
-    ratio = F.log((b + 0.5) / (n + 1)) - F.log((a + 0.5) / (m + 1))
-    best = found.where((a + b >= 3) & (a + b < total) & (F.abs(ratio) >= settings.ratio)).withColumn("chi", chi).where(F.col("chi") >= settings.chi)
-    return [(bytes(r[0]), int(r[1])) for r in best.orderBy(F.desc("chi"), "term").limit(settings.terms).select("term", F.expr("a + b")).collect()]
+            found = [words(x) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], ["rn", "id", "toxic", "terms", "times"])
+
+    table = rows.mapInArrow(run, "rn int, id long, toxic int, terms array<binary>, times array<long>").toArrow()  # bounded by per_label
+    return table.sort_by([("rn", "ascending"), ("toxic", "ascending"), ("id", "ascending")])
 
 
 class Space:
-    """The vector space: term numbers, inverse document frequencies, and the words' first bytes worth a look."""
-
-    def __init__(self, terms: list[tuple[bytes, int]], rows: int):
-        self.number = {t: i for i, (t, _) in enumerate(terms)}
-        self.idf = np.log((rows + 1) / (np.array([n for _, n in terms], float) + 1)) + 1
-        self.roots = {t.rstrip(b"*")[: _CUTS[0]] for t in self.number}
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers ascending, weights of length 1)."""
-        counts: dict[int, int] = {}
-        n, number, roots = _CUTS[0], self.number, self.roots
-        for word, times in words(text).items():
-            if word[:n] in roots:
-                for t in terms_of(word):
-                    i = number.get(t)
-                    if i is not None:
-                        counts[i] = counts.get(i, 0) + times
-        ids = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * self.idf[ids] if len(ids) else np.zeros(0)
-        return ids, weights / np.sqrt((weights**2).sum()) if len(ids) else weights
+    """The vector space: a number and a weight for every term of the sample."""
+
+    def __init__(self, texts: list[list[bytes]], toxic: np.ndarray, floor: float):
+        self.number: dict[bytes, int] = {}
+        for terms in texts:
+            for t in terms:
+                self.number.setdefault(t, len(self.number))
+        has, bad = np.zeros(len(self.number)), np.zeros(len(self.number))
+        for terms, label in zip(texts, toxic, strict=True):
+            at = np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))
+            has[at] += 1
+            bad[at] += label
+        rows, share = len(texts), toxic.mean()
+        spread = np.sqrt(has * share * (1 - share) * (1 - has / (rows + 1)) + 1)
+        self.weight = np.log((rows + 1) / (has + 1)) * (floor + np.abs(bad - has * share) / spread)
+
+    def vector(self, terms: list[bytes], times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers ascending, weights of length 1) of a text's terms; those the sample lacks have no dimension."""
+        at = np.fromiter(map(self.number.get, terms, repeat(-1)), np.int64, len(terms))
+        known = np.flatnonzero(at >= 0)
+        known = known[np.argsort(at[known])]
+        ids = at[known]
+        weights = (1 + np.log(np.array(times, float)[known])) * self.weight[ids]
+        length = np.sqrt((weights**2).sum())
+        return (ids, weights / length) if length else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _spread_out(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that start at ``first`` and hold ``size``."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, groups: int = 24, wide: int = 256) -> np.ndarray:
+    """An order of the rows that puts alike ones side by side: by their nearest of some centres in the heaviest terms."""
+    mass = np.zeros(terms)
+    for ids, weights in vectors:
+        mass[ids] += weights
+    heavy = np.argsort(-mass, kind="stable")[:wide]
+    place = np.full(terms, -1)
+    place[heavy] = np.arange(len(heavy))
+    x = np.zeros((len(vectors), len(heavy)))
+    for row, (ids, weights) in enumerate(vectors):
+        at = place[ids]
+        x[row, at[at >= 0]] = weights[at >= 0]
+    centres = x[np.linspace(0, len(x) - 1, min(groups, len(x))).astype(int)].copy() if len(x) else x
+    own = np.zeros(len(x), np.int64)
+    for _ in range(6):
+        own = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1) if len(x) else own
+        for k in range(len(centres)):
+            if (own == k).any():
+                centres[k] = x[own == k].mean(0)
+    return np.lexsort((np.arange(len(x)), own))
 
 
 class BlockMaxIndex:
-    """Postings by term and block, with each term's largest weight in each block."""
+    """Postings by term and block of alike rows; a cell (term, block) knows the largest weight of its postings."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
         self.rows, self.block = len(vectors), block
         self.blocks = max(1, -(-len(vectors) // block))
+        order = alike(vectors, terms)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         term = np.concatenate([np.zeros(0, np.int64), *(v[0] for v in vectors)])
-        row = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        at = np.repeat(place, [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        cell = term[order] * self.blocks + self.row // block
-        # Postings of term t in block b: from[t * blocks + b] to from[t * blocks + b + 1].
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
-
-    def _score(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
-        """Add the similarities of all rows in ``blocks``."""
-        cells = (ids[:, None] * self.blocks + blocks[None, :]).ravel()
-        first, size = self.start[cells], self.start[cells + 1] - self.start[cells]
-        total = int(size.sum())
-        if total:
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            q = np.repeat(np.repeat(weights, len(blocks)), size)
-            out += np.bincount(self.row[at], self.weight[at] * q, self.rows)
+        by = np.lexsort((at, term))
+        self.row, self.weight = order[at[by]], weight[by]
+        key = term[by] * self.blocks + at[by] // block
+        self.first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.r_[self.first, len(key)])
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
+        self.place = key[self.first] % self.blocks
+        self.cells = np.searchsorted(key[self.first] // self.blocks, np.arange(terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, similarities) of the k nearest with a similarity above 0, nearest first, ties to smaller rows."""
         if not len(ids) or not self.rows:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[ids]
+        many = self.cells[ids + 1] - self.cells[ids]
+        cell, asked = _spread_out(self.cells[ids], many), np.repeat(weights, many)
+        block = self.place[cell]
+        bound = np.bincount(block, self.most[cell] * asked, self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        sim = np.zeros(self.rows)
-        done, step = 0, 2
+        sim, last = np.zeros(self.rows), self.rows - min(k, self.rows)
+        done, step, best = 0, 3, 0.0
         while done < len(order):
-            if done:
-                floor = np.partition(sim, self.rows - min(k, self.rows))[self.rows - min(k, self.rows)]
-                # A bound within rounding of the k-th best may hold a tie, so it is still read.
-                if bound[order[done]] < floor - 1e-9:
-                    break
-                step = max(step, int((bound[order[done : done + step]] >= floor - 1e-9).sum()))
-            self._score(ids, weights, order[done : done + step], sim)
-            done, step = done + step, 2 * step
-        near = np.flatnonzero(sim > 0)
+            # A bound within rounding of the k-th best may hold a tie, so it is still read.
+            open_ = int((bound[order[done:]] >= best - 1e-9).sum()) if done else step
+            if not open_:
+                break
+            now = np.zeros(self.blocks, bool)
+            now[order[done : done + min(step, open_)]] = True
+            mine = np.flatnonzero(now[block])
+            size = self.size[cell[mine]]
+            at = _spread_out(self.first[cell[mine]], size)
+            sim += np.bincount(self.row[at], self.weight[at] * np.repeat(asked[mine], size), self.rows)
+            best = np.partition(sim, last)[last]
+            done, step = done + min(step, open_), 4 * step
+        near = np.flatnonzero((sim > 0) & (sim >= best - 1e-9))
         near = near[np.lexsort((near, -np.round(sim[near], 12)))][:k]
         return near, sim[near]
 
@@ -183,7 +195,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        near, sim = self.index.nearest(*self.space.vector(text), self.k)
+        found = words(text)
+        near, sim = self.index.nearest(*self.space.vector(list(found), list(found.values())), self.k)
         return (self.probability(self.vote(near, sim), sim[0]) if len(near) else self.none), near, sim
 
 
@@ -195,20 +208,14 @@ def _inputs(vote: np.ndarray, best: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | float:
     """A model from labelled rows, or the only rate there is."""
     rows, counts = sample(docs, labels, settings)
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    table = counted(rows)
+    toxic, ids = table.column("toxic").to_numpy().astype(float), table.column("id").to_numpy().astype(np.int64)
+    sizes = {t: int((toxic == t).sum()) for t in (0, 1)}
+    if not min(sizes.values()):
         return (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.0
-    space = Space(choose_terms(rows, sizes, settings), sum(sizes.values()))
-    held = Held(docs.sparkSession, space)
-
-    def run(batches):
-        for batch in batches:
-            found = [held.value.vector(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], ["rn", "id", "toxic", "terms", "weights"])
-
-    table = rows.mapInArrow(run, "rn int, id long, toxic int, terms array<long>, weights array<double>").orderBy("rn", "toxic", "id").collect()  # bounded by per_label and terms
-    vectors = [(np.array(r[3], np.int64), np.array(r[4], float)) for r in table]
-    toxic, ids = np.array([r[2] for r in table], float), np.array([r[1] for r in table], np.int64)
+    texts = table.column("terms").to_pylist()
+    space = Space(texts, toxic, settings.floor)
+    vectors = [space.vector(t, n) for t, n in zip(texts, table.column("times").to_pylist(), strict=True)]
     pull = np.array([counts[int(t)] / sizes[int(t)] for t in toxic])
     model = Model(space, BlockMaxIndex(vectors, len(space.number), settings.block), toxic, ids, pull, np.zeros(3), 0.0, settings.neighbours)
     vote, best, own, bare = [], [], [], []

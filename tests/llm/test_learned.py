@@ -227,6 +227,37 @@ def test_toxicity(spark, nothing):
     assert 0.9 < alone < 1 and toxicity.score_documents(docs, alone).first().score == alone
 
 
+def test_neighbours_from_raw_texts(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{int(r.paretovariate(0.6)) % 900}" for _ in range(4000)]
+    texts = [" ".join([r.choice(vocabulary) for _ in range(r.choice([3, 20, 90]))] + ["awful"] * (i % 4 == 0)) for i in range(160)]
+    texts[50], texts[51], texts[120] = texts[49], texts[49], texts[8]  # ties
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    sample = model.ids.tolist()
+    label = {i: i % 4 == 0 for i in sample}
+    words = [Counter(t.split()) for t in texts]
+    kinds = sorted(set().union(*(words[i] for i in sample)))
+    has = {w: sum(w in words[i] for i in sample) for w in kinds}
+    bad = {w: sum(w in words[i] and label[i] for i in sample) for w in kinds}
+    n, share = len(sample), sum(label.values()) / len(sample)
+    weight = {w: math.log((n + 1) / (has[w] + 1)) * (0.1 + abs(bad[w] - has[w] * share) / math.sqrt(has[w] * share * (1 - share) * (1 - has[w] / (n + 1)) + 1)) for w in kinds}
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in words[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in range(160)}
+    found = {x.doc_id: x.evidence for x in toxicity.score_documents(docs, model).collect()}
+    for i in range(160):
+        sim = {j: sum(x * vectors[j].get(w, 0.0) for w, x in vectors[i].items()) for j in sample}
+        best = sorted((j for j in sample if sim[j] > 0), key=lambda j: (-round(sim[j], 12), sample.index(j)))[:3]
+        assert [e.id for e in found[i]] == best
+        np.testing.assert_allclose([e.similarity for e in found[i]], [sim[j] for j in best])
+    assert all(found[i] for i in range(160))
+
+
 # pages
 
 
