@@ -4,14 +4,16 @@ Tokens are ASCII-lower-cased words split at ASCII white space, then one end toke
 frequent training tokens are dealt to classes by frequency; every other token belongs to one of ``buckets`` classes by
 its ending. A token's probability is that of its class times that within its class. Both factors are log-linear in
 hashed features of the context: the previous token, the one before it (skip), and the two together (n-gram), over a
-unigram prior. Inside a bucket words share by their training counts, and unseen words together have as much as words
-seen once.
+unigram prior. N-grams, and the features within a class, know every word by a hash of its own, whether frequent or not,
+and the rows they are hashed to grow with the vocabulary. Inside a bucket words share by their training counts, and
+unseen words together have as much as words seen once.
 
 Word counts, class priors and bucket sums are taken over all training documents, by shuffles that grow with the
 input. Weights are learned in rounds: learners take gradient steps on their share of the round's documents, and the
 mean of their weights, weighted by tokens, starts the next round. Every round takes a fresh quarter of the training
-documents, so the rounds learn from all of them. Scoring runs over all documents in sparse numpy batches. Words outside the ``listed`` most frequent are
-looked up by a join, so nothing that grows with the vocabulary is broadcast.
+documents, so the rounds learn from all of them. Round, learner and order within it hang on a document's tokens alone,
+so scores don't depend on how the input is laid out. Scoring runs over all documents in sparse numpy batches. Words
+outside the ``listed`` most frequent are looked up by a join, so nothing that grows with the vocabulary is broadcast.
 
 A null or empty text has just the end token. Repeated rows are scored each. A null id is held out or not as the empty
 text's CRC says. Without training documents both scores are 0 (one token type, certain). An empty table gives an empty result.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -34,25 +36,43 @@ from pyspark.sql import functions as F
 from strictpast.llm.common import Held, crc32_of_id, written
 
 
+#: The low bits of a token's code tell its word (frequent) or bucket, the high bits hash a word that is not frequent.
+LOW = 12
+VOID = (1 << LOW) - 1
+
+
 @dataclass(frozen=True)
 class Settings:
-    """A round learns from one of ``share`` parts of the training documents; all parts have their round."""
+    """A round learns from one of ``share`` parts of the training documents; all parts have their round.
+
+    ``hashed`` is the number of hashed rows at least; there is one for every ``words_per_row`` distinct words, up to
+    ``most_hashed``, the bound of what a learner holds.
+    """
 
     classes: int = 32
     members: int = 48
     buckets: int = 16
     listed: int = 1 << 17
     hashed: int = 1 << 14
+    most_hashed: int = 1 << 18
+    words_per_row: int = 128
     rounds: int = 4
     share: int = 4
-    learner_tokens: int = 2_000_000
+    learner_tokens: int = 4_000_000
     most_learners: int = 400
-    batch: int = 8192
+    batch: int = 16_384
     rate: float = 0.25
 
     def __post_init__(self):
         if self.rounds < self.share:
             raise ValueError("fewer rounds than shares leave training documents out")
+        if self.contexts > VOID:
+            raise ValueError("too many classes, members or buckets for a token's code")
+
+    def grown(self, kinds: int) -> Settings:
+        """These settings with hashed rows for ``kinds`` distinct words."""
+        rows = 1 << max(0, -(-kinds // self.words_per_row) - 1).bit_length()
+        return replace(self, hashed=max(self.hashed, min(self.most_hashed, rows)))
 
     @property
     def frequent(self) -> int:
@@ -75,6 +95,11 @@ def bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word[-3:]) % buckets
 
 
+def code(word: bytes, s: Settings) -> int:
+    """The code of a word that is not frequent."""
+    return zlib.crc32(word) >> LOW << LOW | s.frequent + bucket(word, s.buckets)
+
+
 def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
     """(word: binary, bucket, c) over the rows of ``docs`` (text: binary or null)."""
     many = settings.buckets
@@ -114,10 +139,10 @@ class Vocabulary:
 
     def prepared(self, s: Settings):
         k = min(s.frequent, len(self.words))
-        context = np.empty(len(self.words) + 1, np.uint16)
+        context = np.empty(len(self.words) + 1, np.uint32)
         context[:k] = np.arange(k)
-        low = np.array([bucket(w, s.buckets) for w in self.words[k:]], np.int64)
-        context[k:-1] = s.frequent + low
+        context[k:-1] = [code(w, s) for w in self.words[k:]]
+        low = (context[k:-1] & VOID).astype(np.int64) - s.frequent
         base = np.append(np.log10(self.counts + 0.5), 0.0)
         rare = np.zeros(len(self.words) + 1)
         rare[k:-1] = np.log10(self.counts[k:]) - np.log10(self.sums + self.once + 1)[low]
@@ -126,7 +151,18 @@ class Vocabulary:
 
 def learn_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(s.listed).select("word", "c").toArrow()
+    # The list ends where words of equal count would no longer all fit, so no task ranks words; only where the frequent
+    # ones alone need it are words of one count ranked, and then a few of each task.
+    least, held = 0, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(s.listed + 1).collect():  # a row per count
+        if held + r["n"] > s.listed:
+            break
+        least, held = r["c"], held + r["n"]
+    top = counts.where(F.col("c") >= least) if held else counts.limit(0)
+    if held < min(s.frequent, kinds):
+        rest = counts.where(F.col("c") < least) if held else counts
+        top = top.unionByName(rest.orderBy(F.desc("c"), "word").limit(s.frequent - held))
+    top = top.select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most ``listed`` words
     words, c = [bytes(x) for x in top.column(0).to_pylist()], top.column(1).to_numpy().astype(np.int64)
     sums, once = np.zeros(s.buckets), np.zeros(s.buckets)
     if words:
@@ -138,11 +174,11 @@ def learn_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
 
 
 def encode(docs: DataFrame, vocabulary: Held, s: Settings) -> DataFrame:
-    """(uid, id, train, n_tokens, n_listed, ids: uint16 contexts, base, rare, words, times, low): one row per document.
+    """(uid, id, train, n_tokens, n_listed, ids: uint32 codes, base, rare, words, times, low): one row per document.
 
     ``words`` are those outside the list with how often they occur and their buckets.
     """
-    many, frequent = s.buckets, s.frequent
+    frequent = s.frequent
 
     def run(batches):
         index, context, base, rare = vocabulary.value.prepared(s)
@@ -162,9 +198,10 @@ def encode(docs: DataFrame, vocabulary: Held, s: Settings) -> DataFrame:
                     if len(far):
                         names = [tokens[i] if i < len(tokens) else END for i in far.tolist()]
                         other.update(names)
-                        ids[far] = [frequent + bucket(w, many) for w in names]
+                        codes = {w: code(w, s) for w in other}
+                        ids[far] = [codes[w] for w in names]
                     near = at[at >= 0]
-                    row = (uid, len(at), len(near), ids.tobytes(), float(base[near].sum()), float(rare[near].sum()), list(other), list(other.values()), [bucket(w, many) for w in other])
+                    row = (uid, len(at), len(near), ids.tobytes(), float(base[near].sum()), float(rare[near].sum()), list(other), list(other.values()), [(codes[w] & VOID) - frequent for w in other])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     uid += 1
@@ -193,16 +230,15 @@ class Model:
         self.speed = [np.full(len(self.one), 1e-2, np.float32), np.full(len(self.two), 1e-2, np.float32)]
 
     def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Rows of ``one`` per token, and the two context ids; ``starts`` are the first tokens of documents."""
+        """Rows of ``one`` per token, and the two context codes; ``starts`` are the first tokens of documents."""
         s = self.s
-        void = s.contexts - 1
         prev = np.empty(len(ids), np.int64)
-        prev[1:], prev[starts] = ids[:-1], void
+        prev[1:], prev[starts] = ids[:-1], VOID
         back = np.empty(len(ids), np.int64)
         back[1:] = prev[:-1]
-        back[starts] = void
-        both = ((prev * 2654435761 + back * 40503 + 12345) >> 7) % s.hashed
-        return [prev, s.contexts + back, 2 * s.contexts + both], prev, back
+        back[starts] = VOID
+        both = ((prev * 2654435761 + back * 40503 + 12345) >> 9) % s.hashed
+        return [np.minimum(prev & VOID, s.contexts - 1), s.contexts + np.minimum(back & VOID, s.contexts - 1), 2 * s.contexts + both], prev, back
 
     def inner_rows(self, own: np.ndarray, prev: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
         return [((own * 7919 + x * 104729 + salt) * 2654435761 >> 9) % self.s.hashed for x, salt in ((prev, 1), (back, 2))]
@@ -217,6 +253,7 @@ class Model:
     def forward(self, ids: np.ndarray, rows: list[np.ndarray], prev: np.ndarray, back: np.ndarray):
         """Both factors' distributions: (outputs per token), and for frequent tokens (members), with what they used."""
         s = self.s
+        ids = ids & VOID
         own = np.where(ids < s.frequent, ids // s.members, s.classes + ids - s.frequent)
         score = self.one[rows[0]]
         for r in rows[1:]:
@@ -270,42 +307,56 @@ class Model:
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch of documents, and where each begins."""
     parts = column.to_pylist()
-    lengths = np.array([len(x) // 2 for x in parts], np.int64)
-    ids = np.frombuffer(b"".join(parts), np.uint16).astype(np.int64)
+    lengths = np.array([len(x) // 4 for x in parts], np.int64)
+    ids = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
     return ids, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
 def train(encoded: DataFrame, model: Model, s: Settings) -> Model:
     """Rounds of learners that step apart and are averaged by tokens."""
     spark = encoded.sparkSession
+    rows = encoded.where("train").select("ids", "n_tokens", F.xxhash64("ids").alias("mark")).withColumn("turn", F.pmod("mark", F.lit(s.share)))
+    tokens = {r[0]: r[1] for r in rows.groupBy("turn").agg(F.sum("n_tokens")).collect()}  # a row per share
     for turn in range(s.rounds):
-        mine = encoded.where("train").where(F.pmod(F.xxhash64("uid"), F.lit(s.share)) == turn % s.share)
-        tokens = mine.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-        if not tokens:
+        many = tokens.get(turn % s.share, 0)
+        if not many:
             continue
-        learners = max(1, min(s.most_learners, -(-int(tokens) // s.learner_tokens)))
+        learners = max(1, min(s.most_learners, -(-int(many) // s.learner_tokens)))
         held = Held(spark, model)
         block = 256
 
         def run(batches, held=held):
-            own, seen = None, 0
+            own, seen, name = None, 0, None
+
+            def out():
+                for part, table in enumerate((own.one, own.two, own.speed[0][:, None], own.speed[1][:, None])):
+                    for a in range(0, len(table), block):
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([a], pa.int32()), pa.array([name], pa.int32()), pa.array([seen], pa.int64()), pa.array([table[a : a + block].tobytes()], pa.binary())], ["part", "at", "learner", "seen", "body"])
+
             for batch in batches:
-                if batch.num_rows:
-                    own = own or _copy(held.value)
-                    ids, starts = _joined(batch.column(0))
+                learner = batch.column(0).to_numpy()
+                for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[0, np.flatnonzero(np.diff(learner)) + 1, len(learner)]), strict=True):
+                    if lo == hi:
+                        continue
+                    if name != learner[lo]:  # a task may serve more than one learner
+                        if own is not None:
+                            yield from out()
+                        own, seen, name = _copy(held.value), 0, learner[lo]
+                    ids, starts = _joined(batch.column(1).slice(lo, hi - lo))
                     own.learn(ids, starts)
                     seen += len(ids)
             if own is not None:
-                for name, table in enumerate((own.one, own.two, own.speed[0][:, None], own.speed[1][:, None])):
-                    for a in range(0, len(table), block):
-                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([a], pa.int32()), pa.array([seen], pa.int64()), pa.array([table[a : a + block].tobytes()], pa.binary())], ["part", "at", "seen", "body"])
+                yield from out()
 
         def mean(table: pa.Table) -> pa.Table:
+            table = table.sort_by("learner")
             weights = table.column("seen").to_numpy().astype(np.float64)
             total = sum(np.frombuffer(x, np.float32) * w for x, w in zip(table.column("body").to_pylist(), weights / weights.sum(), strict=True))
             return pa.table([table.column("part").slice(0, 1).cast(pa.int32()), table.column("at").slice(0, 1).cast(pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "at", "body"])
 
-        found = mine.select("ids").repartition(learners).mapInArrow(run, "part int, at int, seen long, body binary")
+        mine = rows.where(F.col("turn") == turn % s.share).select(F.pmod(F.shiftrightunsigned("mark", 20), F.lit(learners)).cast("int").alias("learner"), "ids", "mark")
+        dealt = mine.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "mark").select("learner", "ids")
+        found = dealt.mapInArrow(run, "part int, at int, learner int, seen long, body binary")
         merged = found.groupBy("part", "at").applyInArrow(mean, "part int, at int, body binary").toArrow()  # the size of one model
         model = _copy(model)
         tables = (model.one, model.two, model.speed[0][:, None], model.speed[1][:, None])
@@ -329,6 +380,7 @@ def score_documents(docs: DataFrame, train_rule, settings: Settings = Settings()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).withColumn("train", train_rule)
     counts = written(word_counts(rows.where("train"), s), "counts")
     vocabulary = learn_vocabulary(counts, s)
+    s = s.grown(vocabulary.kinds)
     held = Held(spark, vocabulary)
     encoded = written(encode(rows, held, s), "encoded")
     scale = float(np.log10(vocabulary.total + 0.5 * (vocabulary.kinds + 1)))
@@ -345,7 +397,7 @@ def score_documents(docs: DataFrame, train_rule, settings: Settings = Settings()
 
     far = encoded.select("uid", F.explode(F.arrays_zip("words", "times", "low")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("n"), F.col("x.low").alias("low"))
     listed_end = len(vocabulary.words)
-    least = int(vocabulary.counts[-1]) if listed_end else 0
+    least = int(vocabulary.counts[-1]) if listed_end else vocabulary.total
     # Listed words can't be asked for; dropping all but the list's last count from the counts spares their shuffle.
     asked = far.join(counts.where(F.col("c") <= least).select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = F.array(*[F.lit(float(x)) for x in np.log10(vocabulary.sums + vocabulary.once + 1)])

@@ -173,7 +173,7 @@ def test_every_training_document_moves_the_weights(spark):
     s = maxent_lm.Settings()
     words = [f"w{i}".encode() for i in range(s.frequent)]
     vocabulary = maxent_lm.Vocabulary(words, np.ones(s.frequent, np.int64), s.frequent, s.frequent, np.zeros(s.buckets), np.zeros(s.buckets))
-    rows = [(i, True, 2, np.array([i, 1000], np.uint16).tobytes()) for i in range(60)] + [(60, False, 2, np.array([60, 1000], np.uint16).tobytes())]
+    rows = [(i, True, 2, np.array([i, 1000], np.uint32).tobytes()) for i in range(60)] + [(60, False, 2, np.array([60, 1000], np.uint32).tobytes())]
     model = maxent_lm.train(spark.createDataFrame(rows, "uid long, train boolean, n_tokens long, ids binary"), maxent_lm.Model(s, vocabulary), s)
     moved = (model.one[:61] != 0).any(1)
     assert moved[:60].all() and not moved[60]
@@ -181,6 +181,20 @@ def test_every_training_document_moves_the_weights(spark):
         maxent_lm.Settings(rounds=4, share=16)
 
 
+def test_scores_do_not_hang_on_the_layout(corpus):
+    _, df = corpus
+    rule = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 1
+    one, two = ({(r.doc_id, r.n_tokens): r for r in maxent_lm.score_documents(df.repartition(n), rule, SMALL).collect()} for n in (2, 7))
+    assert one.keys() == two.keys()
+    for k, r in one.items():
+        assert (r.score, r.base_score) == pytest.approx((two[k].score, two[k].base_score), rel=1e-6)
+
+
+def test_hashed_rows_grow_with_the_vocabulary():
+    s = maxent_lm.Settings()
+    assert [s.grown(n).hashed for n in (0, 1 << 21, (1 << 21) + 1, 10**7, 10**12)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
+
+
 # toxicity
 
 
