@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strictpast.functions.expressions import basic_features, epoch_seconds, floored
 from strictpast.operators import currency, encoding, history, periods, validate
+from strictpast.plans.storage import materialised
 from strictpast.schema import ANCHOR_CURRENCY, IDENTIFIERS
 
 MODEL_PERIODS = ("train", "val", "threshold", "test")
@@ -83,7 +84,25 @@ def transform(ledger: DataFrame, config: EtlConfig = EtlConfig()) -> TransformRe
     return TransformResult(out, rates, model, names, schema, metadata)
 
 
-def score_later(ledger: DataFrame, result: TransformResult, state: history.State, windows: dict[str, int] = history.WINDOWS) -> DataFrame:
+@dataclass
+class Scorer:
+    """What it takes to score batches after the training data."""
+
+    rates: currency.Rates
+    encoder: encoding.EncoderModel
+    feature_schema: dict[str, str]
+    state: history.State
+    windows: dict[str, int]
+
+    def __call__(self, ledger: DataFrame) -> DataFrame:
+        return score_later(ledger, self, self.state, self.windows)
+
+    def after(self, ledger: DataFrame) -> Scorer:
+        """The scorer of the batch that follows ``ledger``."""
+        return replace(self, state=history.next_state(history_rows(ledger, self.rates), self.windows, self.state))
+
+
+def score_later(ledger: DataFrame, result: TransformResult | Scorer, state: history.State, windows: dict[str, int] = history.WINDOWS) -> DataFrame:
     """Features of a batch after the training data, with frozen rates and statistics and the history in ``state``."""
     rows = featured(ledger, result.rates, windows, state)
     out = encoding.encode_frozen(rows, result.encoder)
@@ -97,10 +116,15 @@ def history_rows(ledger: DataFrame, rates: currency.Rates) -> DataFrame:
 
 
 def prepare(spark, source: str, parent: str, sample: bool = False, config: EtlConfig = EtlConfig()) -> str:
-    """Read, validate, transform and publish; returns the run's folder."""
+    """Read, validate, report on, transform and publish; returns the run's folder."""
     from strictpast.sources.ledger import extract
     from strictpast.sources.runs import publish
 
     raw, provenance = extract(spark, source, sample)
-    result = transform(validate.validate_ledger(raw), config)
-    return publish(result, parent, provenance, {"sample": sample, **config.to_dict()})
+    ledger = materialised(validate.validate_ledger(raw), "ledger")
+    report = validate.quality_report(ledger).join(validate.duplicate_rows(ledger, ledger.columns)).first().asDict()  # two rows of scalars
+    quality = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in report.items()}
+    result = transform(ledger, config)
+    kept = ledger.where(periods.period_of(result.metadata["periods"], epoch_seconds("ts")) != "tail")
+    state = history.next_state(history_rows(kept, result.rates), config.windows)
+    return publish(result, parent, provenance, {"sample": sample, **config.to_dict()}, state, quality)
