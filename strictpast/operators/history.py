@@ -17,6 +17,8 @@ from strictpast.plans.storage import materialised
 
 WINDOWS = {"1h": 3600, "24h": 86400}
 PAIR = ["from_bank", "from_account", "to_bank", "to_account"]
+#: Rows of one account that a task may hold.
+BUSY = 4_000_000
 #: Sums of a grid row: by its account as sender (out) and as receiver (in).
 SUMS = ["out_n", "out_paid", "out_inter", "out_new", "in_n", "in_received", "in_new"]
 
@@ -40,11 +42,24 @@ def feature_names(windows: dict[str, int] = WINDOWS) -> list[str]:
     return names
 
 
-def pair_grid(rows: DataFrame, state: State | None = None) -> DataFrame:
-    """One row per (pair, second): n, paid, received, prior count of the pair, whether the pair is new at this second."""
+def pair_grid(rows: DataFrame, state: State | None = None, span: int | None = None) -> DataFrame:
+    """One row per (pair, second): n, paid, received, prior count of the pair, whether the pair is new at this second.
+
+    With ``span`` (seconds) a pair is counted within spans and over its spans' totals, so that no task holds more of a
+    busy pair than the seconds of one span.
+    """
     grid = rows.groupBy(*PAIR, "sec").agg(F.count("*").alias("n"), F.sum("paid").alias("paid"), F.sum("received").alias("received"))
-    past = Window.partitionBy(*PAIR).orderBy("sec").rangeBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum("n").over(past), F.lit(0))
+    if span:
+        grid = materialised(grid.withColumn("span", F.floor(F.col("sec") / span).cast("long")), "pair-spans")
+        totals = grid.groupBy(*PAIR, "span").agg(F.sum("n").alias("whole"))
+        earlier = Window.partitionBy(*PAIR).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*PAIR, "span", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("before"))
+        inside = Window.partitionBy(*PAIR, "span").orderBy("sec").rangeBetween(Window.unboundedPreceding, -1)
+        grid = grid.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, [*PAIR, "span"])
+        prior = F.col("inside") + F.col("before")
+    else:
+        past = Window.partitionBy(*PAIR).orderBy("sec").rangeBetween(Window.unboundedPreceding, -1)
+        prior = F.coalesce(F.sum("n").over(past), F.lit(0))
     if state is not None:
         grid = grid.join(state.pairs, PAIR, "left")
         prior = prior + F.coalesce(F.col("prior"), F.lit(0))
@@ -127,6 +142,24 @@ def _past_of_spans(rows: DataFrame, windows: dict[str, int], span: int) -> DataF
     return _added(joined, ["bank", "account", "sec", *kept], [n for n in made if n.startswith("w_")])
 
 
+def busy_span(rows: DataFrame, windows: dict[str, int], most: int = BUSY) -> int | None:
+    """Seconds of a span in which no account has more than about ``most`` rows; None where no account has so many at all.
+
+    One narrow aggregate, and none where there are no more rows than that in all. Spans are as long as the longest
+    window at least; a busy account's rows may bunch, so the busiest stretch of its time counts, in 256 steps of it.
+    """
+    if rows.count() <= most:
+        return None
+    roles = F.array(F.struct(F.col("from_bank").alias("bank"), F.col("from_account").alias("account")), F.struct(F.col("to_bank").alias("bank"), F.col("to_account").alias("account")))
+    low, high = rows.agg(F.min("sec"), F.max("sec")).first()
+    step = max(1, -(-(high - low + 1) // 256))
+    counts = rows.select(F.explode(roles).alias("a"), F.floor((F.col("sec") - low) / step).alias("step")).groupBy("a", "step").agg(F.count("*").alias("n"))
+    whole, peak = counts.groupBy("a").agg(F.sum("n").alias("whole"), F.max("n").alias("peak")).where(F.col("whole") > most).agg(F.max("whole"), F.max("peak")).first()
+    if whole is None:
+        return None
+    return max(max(windows.values()), step * max(1, most // peak))
+
+
 def _check(windows: dict[str, int]) -> None:
     if not windows or min(windows.values()) <= 0:
         raise ValueError("windows must be positive")
@@ -175,12 +208,14 @@ def features(paid: Column, received: Column, windows: dict[str, int]) -> dict[st
 def history(rows: DataFrame, windows: dict[str, int] = WINDOWS, state: State | None = None, names: list[str] | None = None, span: int | None = None) -> DataFrame:
     """``rows`` (PAIR, sec, paid, received >= 0 and any other columns) with history features added, as doubles.
 
-    The grids are written to the shared folder when this is called; ``names`` picks features of the result. ``span`` (seconds)
-    splits accounts over tasks by time; without it a task holds the grid of an account.
+    Rows and grids are written to the shared folder when this is called; ``names`` picks features of the result. Accounts
+    and pairs too busy for one task are cut by time: into spans of ``span`` seconds, or by ``busy_span`` where it is None.
     """
     _check(windows)
-    # Both grids are read more than once, with different columns: written, they are computed once.
-    pairs = materialised(pair_grid(rows, state), "pairs")
+    # Rows and both grids are read more than once, with different columns: written, they are computed once.
+    rows = materialised(rows, "rows")
+    span = span or busy_span(rows, windows)
+    pairs = materialised(pair_grid(rows, state, span), "pairs")
     past = materialised(_looked_back(account_grid(pairs), windows, state, span), "past")
     numbers = [n for n in past.columns if n not in ("bank", "account", "sec")]
     sender = past.select(F.col("bank").alias("from_bank"), F.col("account").alias("from_account"), "sec", *[F.col(n).alias(f"s_{n}") for n in numbers])

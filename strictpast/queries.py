@@ -466,7 +466,7 @@ def _(spark, sf):
 
 
 def _folds(rows: DataFrame) -> list[tuple[int, str, int, int]]:
-    return periods.rolling_folds(*rows.agg(F.min("sec"), F.max("sec")).first(), 3, 10, 2, 4)
+    return periods.planned_folds(rows, 3, 10, 2, 4)
 
 
 _FOLDS = """, b AS (SELECT min(sec) AS lo, min(sec) // 86400 * 86400 AS d FROM led), f AS (SELECT i::INTEGER AS fold, lo, d + (10 + i * 4) * 86400 AS a FROM b, range(3) r(i)),
