@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct ``row`` beside ``keys``, so no column name, with a dot or not, can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unwrapped(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``wrapped`` under their names again."""
+    return df.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def crc32_of_id(column: Column | str) -> Column:
     """Unsigned CRC-32 of an id's decimal text; a null id counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -253,16 +253,16 @@ def fit(rows: list[tuple[str, bytes]], settings: Settings = Settings()) -> Model
 
 def training_rows(docs: DataFrame, settings: Settings, id_col: str = "doc_id") -> list[tuple[str, bytes]]:
     """At most ``docs_per_lang`` rows of each language, spread by a hash of the id, cut into their training windows."""
-    rows = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", F.col(id_col).alias("id"))
-    ids = bounded_sample(rows, "lang", settings.docs_per_lang).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    rows = docs.select("lang", F.col(id_col).alias("id"), "text").where("lang is not null and text is not null and length(text) > 0")
+    ids = bounded_sample(rows.select("lang", "id"), "lang", settings.docs_per_lang).select(F.col("id").alias("own_id"), F.col("lang").alias("own_lang"))
     # Language and id come first without the texts; the ids sent out are bounded by the sample.
-    same = (F.col("lang") == F.col("__lang")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    chosen = docs.where("text is not null and length(text) > 0").join(F.broadcast(ids), same, "left_semi")
+    same = (F.col("lang") == F.col("own_lang")) & F.col("id").eqNullSafe(F.col("own_id"))
+    chosen = rows.join(F.broadcast(ids), same, "left_semi")
     # ``windows`` reads no more than this many evenly spread characters' worth of a text, so send just those.
     size, n = settings.window, settings.windows_per_doc
     room = F.greatest(F.lit(0), F.length("text") - size)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col("text"), (room * k / max(1, n - 1)).cast("int") + 1, F.lit(size)))
-    return [(r[0], x.encode()) for r in chosen.select("lang", F.array_distinct(cuts)).orderBy("lang", F.xxhash64(id_col), id_col).collect() for x in r[1]]
+    return [(r[0], x.encode()) for r in chosen.select("lang", F.array_distinct(cuts)).orderBy("lang", F.xxhash64("id"), "id").collect() for x in r[1]]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +309,8 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: flo
                 keep += [ok and p >= least for ok, p in zip(known, found.max(1), strict=True)]
             yield batch.filter(pa.array([bool(x) for x in keep]))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op3_langid(spark, sf_dir):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import bounded_sample, written
+from strictpast.llm.common import bounded_sample, unwrapped, wrapped, written
 
 #: Step lengths that each pass tries.
 STEPS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
@@ -222,16 +222,16 @@ def _chance(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings(), floor: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings(), floor: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with all their columns.
 
     With a floor of 1 every document stays, and scarce domains repeat. A null id counts once.
     """
-    rates, _ = mixing_rates(docs, labelled, settings, floor)
-    copies = rates.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    joined = docs.join(copies, F.col("doc_id") == F.col("__id"), "left")
-    times = F.coalesce("__copies", F.lit(1))
-    return joined.where(times > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    rates, _ = mixing_rates(docs, labelled, settings, floor, id_col=id_col, text_col=text_col)
+    copies = rates.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max("copies").cast("int").alias("copies"))
+    times = F.coalesce("copies", F.lit(1))
+    joined = wrapped(docs, key=F.col(id_col)).join(copies, "key", "left").where(times > 0)
+    return unwrapped(joined.select("row", F.explode(F.sequence(F.lit(1), times)).alias("turn")), docs.columns)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

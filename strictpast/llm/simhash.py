@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import written
+from strictpast.llm.common import unwrapped, wrapped, written
 from strictpast.llm.components import components
 
 BUCKET = 8192
@@ -140,10 +140,16 @@ def drop_near_copies(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     Rows with a null id can't be told apart and all stay.
     """
     found = near_components(docs, distance, words, BUCKET, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
+    return keep_representatives(docs, found.select(F.col(id_col).alias("id"), "component_id"), id_col)
+
+
+def keep_representatives(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each component of ``found`` (id, component_id), and all rows with a null id."""
+    stay = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("stay")).distinct()
+    rows = wrapped(docs, key=F.col(id_col).cast("long"))
     # Joined and freed of repeated rows under one partitioning by id, so a text moves once.
-    kept = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__stay")).drop("__stay").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = rows.where("key is not null").join(stay, F.col("key") == F.col("stay")).dropDuplicates(["key"]).select("row")
+    return unwrapped(kept.unionByName(rows.where("key is null").select("row")), docs.columns)
 
 
 def op4_simhash(spark, sf_dir):

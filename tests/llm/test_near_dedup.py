@@ -59,3 +59,22 @@ def test_links_connect_as_all_pairs_do():
     sets = [sets[i] for i in r.permutation(len(sets))]
     links = near_dedup.similar_links(sets, 0.8)
     assert len(links) == 12 * 5 and len({root for _, root in links}) == 12
+
+
+def test_crowded_groups_are_cut(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(60):  # near one another and mostly near the hub
+        words = list(base)
+        words[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 90):  # a chain that leaves the first text step by step
+        base = base[4:] + [f"y{i}_{j}" for j in range(4)]
+        rows.append((i, " ".join(base)))
+    rows += [(200 + i, "one two three four five six " + f"z{i} " * 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {x.doc_id: x.component_id for x in near_dedup.near_components(docs).collect()}
+    assert {i for i, c in whole.items() if i == c} == slow_kept(rows)
+    for room in (150, 2000):
+        assert {x.doc_id: x.component_id for x in near_dedup.near_components(docs, room=room).collect()} == whole

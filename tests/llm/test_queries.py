@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strictpast.llm import exact_dedup, langid, queries, simhash
@@ -62,3 +63,21 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(packed["doc_id"]) == kept["mixing"] and (packed.groupby("sequence_id")["length"].sum() <= 4096).all()
     assert (packed[packed["piece"] == 0].groupby("doc_id").size() == docs.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].reindex(sorted(kept["mixing"]))).all()
+
+
+def test_stages_keep_any_column(spark):
+    """Column names that stages use inside, or that hold a dot, pass through all stages with their values."""
+    names = ["__turn", "__id", "__copies", "__stay", "__lang", "a.b", "row", "key", "stay", "copies", "id", "turn", "slot", "domain", "tokens", "digest"]
+    plain = table(spark, SF, "documents")
+    odd = plain.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        assert docs.columns == odd.columns
+    rows = docs.collect()
+    source = {r["doc_id"]: r for r in plain.collect()}
+    assert rows
+    for r in rows:
+        assert [r[n] for n in names] == [f"{n}:{r['doc_id']}" for n in names]
+        assert all(r[c] == source[r["doc_id"]][c] for c in plain.columns)
+    assert set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()["doc_id"]) == {r["doc_id"] for r in rows}
