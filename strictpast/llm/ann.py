@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-Centroids and code books are fitted on at most ``sample`` vectors; every valid vector is indexed. A query probes its
-nearest cells, at least ``probes`` and on until they hold enough vectors for a full answer; asymmetric distance tables
-rank their codes, and the best ``rerank`` are measured again on the original vectors in double precision.
+Centroids and code books are fitted on a bounded sample; every valid vector is indexed. How many of its nearest cells a
+query probes is measured there: so many that ``reach`` of the true neighbours of sample rows lie in them, at least
+``probes``, and on until they hold enough vectors for a full answer. Vectors that cluster need few cells, others most.
+Asymmetric distance tables
+rank their codes, and the best ``rerank`` of a query's cells together are measured again on the original vectors in
+double precision. The ``first`` nearest cells go first: a query's ``rerank``-th best there bounds what its other cells
+pass on, so few candidates move and none of the best is lost.
 
 Cells split into parts of at most ``PART`` rows and queries into blocks of at most ``BLOCK``, so a cell that holds a
 third of all vectors is shared by many tasks. Equal distances go to the smaller id at every step. Vectors that are
 null, zero, of another length than most, or hold a null or non-finite component take no part, nor does a null id. Repeated rows
-are candidates each. Fewer candidates than asked for are all returned; an empty table gives an empty result.
+are candidates each; of rows that share a query's id the smallest vector asks. Fewer candidates than asked for are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ PART, BLOCK = 20_000, 2_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the fit; ``cells`` bounds the inverted file (sqrt(rows) / 2 cells up to there)."""
+    """``cells`` bounds the inverted file (sqrt(rows) / 2 cells up to there); the fit takes ``sample`` rows or 16 a cell."""
 
     sample: int = 16_384
-    cells: int = 1024
-    probe_share: float = 0.7
+    cells: int = 4096
+    reach: float = 0.98
+    tried: int = 512
     probes: int = 12
     codes: int = 16
+    first: int = 4
     rerank: int = 300
     seed: int = 11
 
@@ -65,6 +71,7 @@ class Index:
     centroids: np.ndarray  # (cells, dimensions)
     books: list[np.ndarray]  # per code: (entries, its dimensions)
     cuts: list[int]
+    probes: int  # nearest cells that hold ``reach`` of the neighbours
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(x, self.centroids)
@@ -86,15 +93,30 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, count: int, settings: Settings) -> Index:
-    """Fit on the ``sample`` rows whose ids hash lowest."""
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("vec").collect()])
+    """Fit on the rows whose ids hash lowest."""
     cells = int(min(settings.cells, max(1, count**0.5 / 2)))
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(max(settings.sample, 16 * cells)).select("vec").collect()])
     centroids = kmeans(sample, cells, settings.seed)
     rest = sample - centroids[nearest(sample, centroids)]
     wide = sample.shape[1]
     cuts = sorted({wide * i // min(wide, settings.codes) for i in range(min(wide, settings.codes) + 1)})
     books = [kmeans(rest[:8192, a:b], 256, settings.seed + i) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return Index(centroids, books, cuts)
+    return Index(centroids, books, cuts, probes_for(sample, centroids, settings))
+
+
+def probes_for(sample: np.ndarray, centroids: np.ndarray, settings: Settings, k: int = 10) -> int:
+    """How many nearest cells hold ``reach`` of the ``k`` nearest sample rows of each of the first ``tried``."""
+    asked, own = sample[: settings.tried], nearest(sample, centroids)
+    ranks = []
+    for at in range(0, len(asked), 64):
+        q = asked[at : at + 64]
+        distance = (sample * sample).sum(1) - 2 * q @ sample.T
+        distance[np.arange(len(q)), at + np.arange(len(q))] = np.inf
+        near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        place = np.argsort(np.argsort((centroids * centroids).sum(1) - 2 * q @ centroids.T, axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(place, own[near], axis=1).ravel())
+    ranks = np.concatenate([np.zeros(1, np.int64), *ranks])
+    return max(settings.probes, int(np.quantile(ranks, settings.reach, method="higher")) + 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,8 +149,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
     in_cell = np.zeros(len(index.centroids), np.int64)
     for r in coded.groupBy("cell").count().collect():  # at most ``cells`` rows
         in_cell[r[0]] = r[1]
-    probes = max(settings.probes, int(np.ceil(len(in_cell) * settings.probe_share)))
-    asked = rows.where(is_query)
+    probes = index.probes
+    asked = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
 
     def probe(batches):
         c = held.value.centroids
@@ -152,9 +174,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
     block_of = F.element_at(F.array(*[F.lit(x) for x in blocks]), F.col("cell") + 1)
     left = coded.withColumn("part", F.pmod(F.xxhash64("id"), part_of).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), block_of - 1)))
     right = pairs.withColumn("block", F.pmod(F.xxhash64("query_id"), block_of).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), part_of - 1)))
-    right = right.join(asked.select(F.col("id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "query_id")
-    # The nearest cells pass on as many candidates as are reranked, the others their share of three times as many.
-    best, few = settings.rerank, max(k + 1, -(-3 * settings.rerank // probes))
+    right = right.join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id")
+    best = settings.rerank
 
     def rank(one: pa.Table, two: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -163,7 +184,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
             ids = one.column("id").to_numpy()
             codes = np.frombuffer(b"".join(one.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             names = two.column("query_id").to_numpy()
-            most = np.where(two.column("place").to_numpy() < 4, best, few)
+            bounds = two.column("bound").to_numpy()
             q = np.array(two.column("vec").to_pylist())
             cell = one.column("cell")[0].as_py()
             for at in range(0, len(q), 32):
@@ -172,13 +193,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
                 for j in range(1, len(tables)):
                     score = score + tables[j][:, codes[:, j]]
                 for i, name in enumerate(names[at : at + 32]):
-                    s, m = score[i], most[at + i]
-                    if len(s) > m + 1:
-                        edge = np.partition(s, m)[m]
-                        near = np.flatnonzero(s < edge)
-                        near = np.concatenate([near, np.flatnonzero(s == edge)[: m + 1 - len(near)]])
-                    else:
-                        near = np.arange(len(s))
+                    s, edge = score[i], bounds[at + i]
+                    if len(s) > best + 1:
+                        edge = min(edge, np.partition(s, best)[best])
+                    near = np.flatnonzero(s <= edge)
+                    if len(near) > best + 1:  # of equal ones the smaller ids, in which order they are
+                        below = np.flatnonzero(s < edge)
+                        near = np.concatenate([below, np.flatnonzero(s == edge)[: best + 1 - len(below)]])
                     near = near[ids[near] != name]
                     out[0].append(np.full(len(near), name))
                     out[1].append(ids[near])
@@ -187,10 +208,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
         return pa.table([pa.array(np.concatenate([np.zeros(0, t), *x])) for x, t in zip(out, kinds, strict=True)], ["query_id", "id", "rough"])
 
     keys = ["cell", "part", "block"]
-    rough = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, id long, rough double")
     order = Window.partitionBy("query_id").orderBy("rough", "id")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return left.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInArrow(rank, "query_id long, id long, rough double")
+
+    near = written(ranked(right.where(F.col("place") < settings.first).withColumn("bound", F.lit(float("inf")))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= best), "nearest-cells")
+    bound = near.where(F.col("rn") == best).select("query_id", F.col("rough").alias("bound"))
+    far = right.where(F.col("place") >= settings.first).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    rough = near.drop("rn").unionByName(ranked(far))
     chosen = rough.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= best).select("query_id", "id")
-    both = chosen.distinct().join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")).dropDuplicates(["query_id"]), "query_id")
+    both = chosen.distinct().join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), "query_id")
 
     def measure(batches):
         for batch in batches:

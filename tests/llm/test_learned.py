@@ -46,6 +46,40 @@ def test_search_small_tables_and_parts(spark, rng, monkeypatch):
     assert len(a) == 300 and not a.duplicated(["query_id", "vec_id"]).any()
 
 
+def test_recall_of_the_registered_table(spark):
+    found = ann.op1_ann(spark, "/root/testdata/sf0.1").toPandas()
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r[0], r[1]) for r in rows if r[1] is not None and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1])]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        mine = found[found["query_id"] == ids[q]].sort_values("rank")["vec_id"].tolist()
+        hit += len(set(mine) & set(ids[np.lexsort((ids, distance))[:10]]))
+        total += 10
+    assert hit / total >= 0.95
+
+
+def test_clustered_vectors_need_few_cells(rng):
+    centres = rng.normal(size=(100, 32)) * 20
+    x = centres[rng.integers(0, 100, 5000)] + rng.normal(size=(5000, 32))
+    c = ann.kmeans(x, 35, 1)
+    assert ann.probes_for(x, c, ann.Settings(probes=1)) <= 3
+    assert ann.probes_for(rng.normal(size=(5000, 32)), c, ann.Settings()) >= 12
+    assert ann.probes_for(x[:1], x[:1], ann.Settings(probes=1)) == 1
+
+
+def test_repeated_vector_ids(spark, rng):
+    rows = [(i % 40, rng.normal(size=6).tolist()) for i in range(80)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, 5).toPandas()
+    assert sorted(found["query_id"].unique()) == [0, 10, 20, 30] and (found["query_id"] != found["vec_id"]).all()
+    assert all(sorted(g["rank"]) == [1, 2, 3, 4, 5] for _, g in found.groupby("query_id"))
+    least = {q: min(v for i, v in rows if i == q) for q in (0, 10, 20, 30)}  # of vectors that share an id the smallest asks
+    for r in found.itertuples():
+        assert any(r.score == pytest.approx(math.dist(least[r.query_id], v)) for i, v in rows if i == r.vec_id)
+
+
 # languages
 
 
