@@ -75,18 +75,26 @@ def shard(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id", text_c
     return rows.select(F.col("id").alias(id_col), F.concat(name, F.coalesce(F.concat(F.lit("."), pages.cast("string")), F.lit(""))).alias("shard"), F.col("depth").cast("int").alias("depth"), "bytes", (F.col("bytes") > limit).alias("oversized"))
 
 
+#: The registered query's byte limit: small enough that the smallest tables fill a directory of several depths.
+LIMIT = 256 << 10
+
+
 def op10_sharding(spark, sf_dir):
     from strictpast.llm.common import table
 
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), LIMIT)
 
 
-def sharding_sql(limit: int = 32 << 20, depths: int = 14) -> str:
-    """The directory's definition, not its algorithm: a row's depth is the first at which its prefix fits."""
+def sharding_sql(limit: int = LIMIT) -> str:
+    """The directory's definition, not its algorithm: a row's depth is the first at which its prefix is settled."""
     return f"""
 WITH k AS (SELECT doc_id, md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),
-c AS (SELECT doc_id, bytes, h, ('0x' || substr(h, 1, 15))::BIGINT AS code FROM k),
-e AS (SELECT d.depth, c.code >> (60 - d.depth)::INTEGER AS prefix, sum(bytes) AS total FROM c, (SELECT unnest(range({depths}))::INTEGER AS depth) d GROUP BY ALL),
-m AS (SELECT c.doc_id, c.bytes, c.code, min(e.depth) AS depth FROM c JOIN e ON e.prefix = c.code >> (60 - e.depth)::INTEGER AND e.total <= {limit} GROUP BY ALL)
-SELECT doc_id, 'b' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(code >> (60 - depth)::INTEGER), depth, '0') END AS shard, depth, bytes, bytes > {limit} AS oversized FROM m
+c AS (SELECT doc_id, bytes, ('0x' || substr(h, 1, 15))::BIGINT AS code, row_number() OVER (PARTITION BY doc_id, h) AS copy FROM k),
+g AS (SELECT doc_id, bytes, code, count(*) AS n FROM c GROUP BY ALL),
+e AS (SELECT d.depth, g.code >> ({BITS} - d.depth)::INTEGER AS prefix, sum(bytes * n) AS total, count(*) AS codes FROM g, (SELECT unnest(range({BITS + 1}))::INTEGER AS depth) d GROUP BY ALL),
+s AS (SELECT * FROM e WHERE total <= {limit} OR codes = 1 OR depth = {BITS}),
+m AS (SELECT g.doc_id, g.bytes, g.code, min(s.depth) AS depth FROM g JOIN s ON s.prefix = g.code >> ({BITS} - s.depth)::INTEGER GROUP BY ALL),
+p AS (SELECT c.doc_id, c.bytes, c.code, m.depth, CASE WHEN e.total > {limit} THEN '.' || ((copy - 1) // greatest(1, {limit} // greatest(c.bytes, 1))) ELSE '' END AS page
+  FROM c JOIN m USING (doc_id, bytes, code) JOIN e ON e.depth = m.depth AND e.prefix = c.code >> ({BITS} - m.depth)::INTEGER)
+SELECT doc_id, 'b' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(code >> ({BITS} - depth)::INTEGER), depth, '0') END || page AS shard, depth, bytes, bytes > {limit} AS oversized FROM p
 """
