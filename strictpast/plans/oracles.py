@@ -119,3 +119,22 @@ f AS (SELECT slots.feature, slots.bin, coalesce(a, 0) + 0.5::DOUBLE AS a, coales
 s AS (SELECT feature, bin, a / sum(a) OVER (PARTITION BY feature) AS p, b / sum(b) OVER (PARTITION BY feature) AS q FROM f)
 SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi, sum((q - p) * ln(q / p)) >= {limit} AS investigate FROM s GROUP BY feature""",
     )
+
+
+def rates_sql(anchor: str, free: list[str], digits: int = 6) -> str:
+    """Weighted least squares over pair medians: the normal equations, summed in one row and eliminated step by step."""
+    size = range(len(free))
+
+    def touches(i: int) -> str:
+        return f"(pay = '{free[i]}' OR got = '{free[i]}')"
+
+    cells = [f"coalesce(sum(CASE WHEN {touches(i)} AND {touches(j)} THEN {'n' if i == j else '-n'} END), 0)::DOUBLE AS a{i}_{j}" for i in size for j in size]
+    cells += [f"coalesce(sum(CASE WHEN pay = '{c}' THEN n * m WHEN got = '{c}' THEN -n * m END), 0)::DOUBLE AS b{i}" for i, c in enumerate(free)]
+    steps = [f"e0 AS (SELECT {', '.join(cells)} FROM med)"]
+    for k in size:  # after step k no equation but the k-th holds unknown k
+        out = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" if i != k else f"a{i}_{j}" for i in size for j in size]
+        out += [f"b{i} - a{i}_{k} / a{k}_{k} * b{k} AS b{i}" if i != k else f"b{i}" for i in size]
+        steps.append(f"e{k + 1} AS (SELECT {', '.join(out)} FROM e{k})")
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS currency, round(b{i} / a{i}_{i}, {digits}) AS log_rate FROM e{len(free)}" for i, c in enumerate(free))
+    medians = "SELECT payment_currency AS pay, receiving_currency AS got, median(ln(received::DOUBLE / paid::DOUBLE)) AS m, count(*) AS n FROM led WHERE payment_currency <> receiving_currency AND paid > 0 AND received > 0 GROUP BY ALL"
+    return f", med AS ({medians}), {', '.join(steps)} {rows} UNION ALL SELECT '{anchor}', 0.0::DOUBLE"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strictpast.functions import expressions as X
+from strictpast.functions.quantiles import quantiles
 from strictpast.operators import currency, drift, encoding, history, learners, metrics, periods, sampling, validate
 from strictpast.plans import oracles as O
 from strictpast.plans.adapters import RATES, event_ledger, order_ledger
@@ -21,6 +23,8 @@ ORDER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 ORDER_WINDOWS = {"7d": 7 * 86400, "30d": 30 * 86400}
 #: 1995-06-01, and within the events' month.
 ORDER_CUT = 801_964_800
+#: 1995-01-03: the first day of the orders is the past of all that follow.
+EARLY_CUT = 789_091_200
 DRIFT_FEATURES = ["paid", "l_quantity", "l_discount", "score", "label"]
 
 
@@ -113,7 +117,7 @@ def _(spark, sf):
     return validate.gate_violations(broken, _GATED)
 
 
-@query("sender_sample_complete")
+@query("sender_sample_complete", order_sql("SELECT from_bank, from_account, count(*) AS rows FROM led WHERE ('0x' || substr(md5(from_bank || '|' || from_account), 1, 8))::BIGINT % 10 = 0 GROUP BY ALL"))
 def _(spark, sf):
     return sampling.sample_senders(order_ledger(spark, sf), 10).groupBy("from_bank", "from_account").agg(F.count("*").alias("rows"))
 
@@ -143,11 +147,8 @@ _USD_SQL = "usd AS (SELECT *, paid / 100.0::DOUBLE * " + "(CASE payment_currency
 
 def usd(spark, sf) -> DataFrame:
     """The order ledger with amounts in the anchor, at the known rates."""
-    out = as_contract(order_ledger(spark, sf))
-    for amount, name in (("amount_paid", "payment_currency"), ("amount_received", "receiving_currency")):
-        rate = F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(v / 1e6))])
-        out = out.withColumn(f"{amount}_usd", F.col(amount) * F.element_at(rate, F.col(name)))
-    return out
+    rates = currency.Rates("AFRICA", {k: math.log(v / 1e6) for k, v in RATES.items()}, 0.0)
+    return currency.to_anchor(as_contract(order_ledger(spark, sf)), rates, check=False)
 
 
 @query("ledger_usd", order_sql(f", {_USD_SQL} SELECT l_orderkey, l_linenumber, l_partkey, round(pu, 4) AS amount_paid_usd, round(ru, 4) AS amount_received_usd FROM usd"))
@@ -180,9 +181,9 @@ def _(spark, sf):
     return rounded(currency.pair_medians(order_ledger(spark, sf), "paid", "received"))
 
 
-@query("fx_rates_solved")
+@query("fx_rates_solved", order_sql(O.rates_sql("AFRICA", [c for c in RATES if c != "AFRICA"])))
 def _(spark, sf):
-    return currency.rates_table(spark, currency.fit_rates(order_ledger(spark, sf), "AFRICA", "paid", "received"))
+    return rounded(currency.rates_table(spark, currency.fit_rates(order_ledger(spark, sf), "AFRICA", "paid", "received")))
 
 
 # periods
@@ -335,12 +336,12 @@ def _(spark, sf):
 
 @query(
     "known_account_segments",
-    order_sql(f""", known AS (SELECT from_bank AS bank, from_account AS account FROM led WHERE sec < {ORDER_CUT} AND l_partkey % 50 = 0 UNION SELECT to_bank, to_account FROM led WHERE sec < {ORDER_CUT} AND l_partkey % 50 = 0)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k.account IS NULL THEN 'new' ELSE 'known' END AS sender FROM led LEFT JOIN known k ON k.bank = from_bank AND k.account = from_account WHERE sec >= {ORDER_CUT}"""),
+    order_sql(f""", known AS (SELECT from_bank AS bank, from_account AS account FROM led WHERE sec < {EARLY_CUT} UNION SELECT to_bank, to_account FROM led WHERE sec < {EARLY_CUT})
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k.account IS NULL THEN 'new' ELSE 'known' END AS sender FROM led LEFT JOIN known k ON k.bank = from_bank AND k.account = from_account WHERE sec >= {EARLY_CUT}"""),
 )
 def _(spark, sf):
     rows = order_ledger(spark, sf)
-    return known_accounts(rows.where(F.col("sec") >= ORDER_CUT), rows.where((F.col("sec") < ORDER_CUT) & (F.col("l_partkey") % 50 == 0))).select(*ORDER_KEYS, "sender")
+    return known_accounts(rows.where(F.col("sec") >= EARLY_CUT), rows.where(F.col("sec") < EARLY_CUT)).select(*ORDER_KEYS, "sender")
 
 
 def accounts(rows: DataFrame) -> DataFrame:
@@ -356,12 +357,12 @@ def known_accounts(rows: DataFrame, past: DataFrame) -> DataFrame:
 
 @query(
     "new_accounts_anti",
-    order_sql(f"SELECT DISTINCT from_bank, from_account FROM led x WHERE sec >= {ORDER_CUT} AND NOT EXISTS (SELECT 1 FROM led y WHERE y.sec < {ORDER_CUT} AND y.l_partkey % 50 = 0 AND (y.from_bank = x.from_bank AND y.from_account = x.from_account))"),
+    order_sql(f"SELECT DISTINCT from_bank, from_account FROM led x WHERE sec >= {EARLY_CUT} AND NOT EXISTS (SELECT 1 FROM led y WHERE y.sec < {EARLY_CUT} AND (y.from_bank = x.from_bank AND y.from_account = x.from_account))"),
 )
 def _(spark, sf):
     rows = order_ledger(spark, sf)
-    old = rows.where((F.col("sec") < ORDER_CUT) & (F.col("l_partkey") % 50 == 0)).select("from_bank", "from_account")
-    return rows.where(F.col("sec") >= ORDER_CUT).select("from_bank", "from_account").distinct().join(old, ["from_bank", "from_account"], "left_anti")
+    old = rows.where(F.col("sec") < EARLY_CUT).select("from_bank", "from_account")
+    return rows.where(F.col("sec") >= EARLY_CUT).select("from_bank", "from_account").distinct().join(old, ["from_bank", "from_account"], "left_anti")
 
 
 # metrics
@@ -511,8 +512,10 @@ def _(spark, sf):
 @query("eda_describe", order_sql("SELECT count(*) AS rows, round(avg(paid::DOUBLE), 3) AS mean, round(stddev_samp(paid::DOUBLE), 3) AS std, min(paid) AS low, max(paid) AS high, round(quantile_cont(paid::DOUBLE, 0.25), 3) AS q1, round(median(paid::DOUBLE), 3) AS q2, round(quantile_cont(paid::DOUBLE, 0.75), 3) AS q3 FROM led"))
 def _(spark, sf):
     p = F.col("paid").cast("double")
-    out = order_ledger(spark, sf).agg(F.count("*").alias("rows"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min("paid").alias("low"), F.max("paid").alias("high"), *[F.percentile(p, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
-    return rounded(out, 3)
+    rows = materialised(order_ledger(spark, sf).select("paid", p.alias("x")), "amounts")
+    out = rows.agg(F.count("*").alias("rows"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("paid").alias("low"), F.max("paid").alias("high"))
+    cuts = quantiles(rows, [], "x", [0.25, 0.5, 0.75])
+    return rounded(out.join(F.broadcast(cuts.select(*[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]))), 3)  # one row each
 
 
 @query("eda_accounts", order_sql("SELECT count(*) AS accounts FROM (SELECT from_bank, from_account FROM led UNION SELECT to_bank, to_account FROM led)"))
