@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strictpast.functions.quantiles import quantiles
+from strictpast.plans.storage import materialised
 from strictpast.schema import ANCHOR_CURRENCY
 
 
@@ -17,7 +19,8 @@ def pair_medians(df: DataFrame, paid: str = "amount_paid", received: str = "amou
     p, r = F.col(paid).cast("double"), F.col(received).cast("double")
     cross = df.where((F.col("payment_currency") != F.col("receiving_currency")) & (p > 0) & (r > 0))
     logs = cross.select(F.col("payment_currency").alias("pay"), F.col("receiving_currency").alias("receive"), F.ln(r / p).alias("x"))
-    return logs.groupBy("pay", "receive").agg(F.median("x").alias("median"), F.count("*").alias("n"))
+    found = quantiles(materialised(logs, "log-ratios"), ["pay", "receive"], "x", [0.5])
+    return found.select("pay", "receive", F.col("q")[0].alias("median"), "n")
 
 
 def reachable(anchor: str, links: list[tuple[str, str]]) -> set[str]:

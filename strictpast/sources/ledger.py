@@ -14,6 +14,8 @@ from strictpast.schema import AMOUNTS, RAW_TO_OWN
 from strictpast.sources.files import Files
 
 SAMPLE_RATE = 50
+#: Bytes of a file from which on it is digested as a stream.
+WHOLE = 1 << 29
 _PRIMARY = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}$"
 
 
@@ -42,12 +44,17 @@ def sha256_of(path: str, chunk_size: int = 1 << 20) -> str:
 
 
 def source_digest(spark: SparkSession, path: str) -> str:
-    """Digest of a local file, or of the sorted digests of the files at ``path`` on any store."""
+    """Digest of a local file, or of the sorted digests of the files at ``path`` on any store.
+
+    Files under ``WHOLE`` bytes are digested by tasks, larger ones, which no value can hold, from a stream.
+    """
     local = path.removeprefix("file://")
     if os.path.isfile(local):
         return sha256_of(local)
-    parts = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d"))
-    return hashlib.sha256("".join(sorted(r[0] for r in parts.collect())).encode()).hexdigest()  # one row per file
+    found = spark.read.format("binaryFile").load(path)
+    parts = [r[0] for r in found.where(F.col("length") < WHOLE).select(F.sha2("content", 256)).collect()]  # one row per file
+    parts += [Files(spark).sha256(r[0]) for r in found.where(F.col("length") >= WHOLE).select("path").collect()]
+    return hashlib.sha256("".join(sorted(parts)).encode()).hexdigest()
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:

@@ -153,3 +153,41 @@ def test_extra_columns_pass_through(spark):
     found = history.history(spark.createDataFrame(pdf), WINDOWS, names=["sender_prev_tx_log"])
     assert found.columns == [*pdf.columns, "sender_prev_tx_log"]
     assert isinstance(found.toPandas(), pd.DataFrame)
+
+
+def test_one_pair_of_half_of_all_rows(spark, monkeypatch):
+    """A hot pair and its accounts are cut into spans without being asked to, and nothing changes."""
+    pdf = history_input(make_ledger(400, 6, 12, 3))
+    hot = np.arange(len(pdf)) % 2 == 0
+    for column in history.PAIR:
+        pdf.loc[hot, column] = pdf[column].iloc[0]
+    df = spark.createDataFrame(pdf)
+    assert history.busy_span(df, WINDOWS) is None
+    whole = collected(history.history(df, WINDOWS))
+    np.testing.assert_allclose(whole, brute(pdf, WINDOWS), rtol=1e-5, atol=1e-5)
+    span = history.busy_span(df, WINDOWS, 100)
+    assert max(WINDOWS.values()) <= span < int(pdf["sec"].max() - pdf["sec"].min())
+    monkeypatch.setattr(history, "busy_span", lambda rows, windows: span)
+    np.testing.assert_allclose(collected(history.history(df, WINDOWS)), whole, rtol=1e-9)
+
+
+def test_a_failed_commit_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    pdf = history_input(make_ledger(300, 3, 10, 15))
+    df = spark.createDataFrame(pdf)
+    cuts = [int(x) for x in pdf["sec"].quantile([0.25, 0.5, 0.75])]
+    parts = [df.where((F.col("sec") >= lo) & (F.col("sec") < hi)) for lo, hi in zip([0, *cuts], [*cuts, 1 << 40])]
+    out = str(tmp_path / "out")
+    take = incremental.sink(out, WINDOWS)
+    take(parts[0], 0)
+    before = incremental.load_state(spark, f"{out}/state")
+    with monkeypatch.context() as m:
+        m.setattr(incremental.Files, "replace", lambda *a: 1 / 0)  # between the write and the rename
+        with pytest.raises(ZeroDivisionError):
+            take(parts[1], 1)
+    after = incremental.load_state(spark, f"{out}/state")
+    assert before[1] == after[1] == 0 and before[0].last == after[0].last
+    for i in (1, 2, 3):
+        take(parts[i], i)
+    found = spark.read.parquet(f"{out}/features")
+    np.testing.assert_allclose(collected(found), collected(history.history(df, WINDOWS)), rtol=1e-9)
+    assert sorted(p.name for p in (tmp_path / "out" / "state").iterdir() if p.is_dir()) == ["v2", "v3"]

@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strictpast.functions import running
+from strictpast.functions.quantiles import quantiles
 from strictpast.operators import drift, learners, metrics, periods
 
 
@@ -109,3 +111,36 @@ def test_learners(spark):
     both = spark.createDataFrame(scored(8, 300).assign(two=lambda d: 1 - d["score"]))
     row = learners.bootstrap_difference(both, "score", "two", 40).first()
     assert row["low"] <= row["mean"] <= row["high"] and row["share_better"] == 1.0
+
+
+def test_quantiles_are_equal_either_way(spark):
+    r = np.random.default_rng(4)
+    rows = [(["a", "b", None][i % 3], float(np.round(x, 1))) for i, x in enumerate(r.normal(size=700))] + [("a", None), ("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    for groups in (["g"], []):
+        one, two = ({x["g"] if groups else 0: (x["q"], x["n"]) for x in quantiles(df, groups, "x", shares, most).collect()} for most in (10**6, 10))
+        assert one.keys() == two.keys() and "c" not in one
+        for g, (q, n) in one.items():
+            values = [x for k, x in rows if x is not None and (not groups or k == g)]
+            assert n == two[g][1] == len(values)
+            np.testing.assert_allclose(q, np.quantile(values, shares))
+            np.testing.assert_allclose(two[g][0], q)
+    assert quantiles(df.limit(0), [], "x", [0.5]).count() == 0
+
+
+def test_running_sums_over_many_buckets(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(1).alias("n"))
+    for descending in (False, True):
+        found = running.running_sums(df, "v", ["n"], descending, parts=13).collect()
+        assert len(found) == 1000 and all(r["run_n"] == (1000 - r["v"] if descending else r["v"] + 1) for r in found)
+
+
+def test_folds_hold_rows(spark):
+    day = 86400
+    df = spark.createDataFrame([(d * day + 100,) for d in (0, 1, 2, 3, 4, 6, 7, 8)], "sec long").select(F.timestamp_seconds("sec").cast("timestamp_ntz").alias("ts"))
+    assert len(periods.planned_folds(df.where("ts < '1970-01-06'"), 1, 2, 1, 1)) == 3
+    with pytest.raises(ValueError, match="val of fold 2"):
+        periods.planned_folds(df, 3, 3, 1, 1)
+    with pytest.raises(ValueError):
+        periods.planned_folds(df.limit(0))

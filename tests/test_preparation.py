@@ -8,8 +8,8 @@ import pytest
 from helpers import make_ledger, to_spark
 from pyspark.sql import functions as F
 
-from strictpast import schema
-from strictpast.operators import currency, encoding, periods, sampling, validate
+from strictpast import cli, schema
+from strictpast.operators import currency, encoding, history, learners, periods, sampling, validate
 from strictpast.operators.history import next_state
 from strictpast.plans import pipeline
 from strictpast.sources import ledger as sources
@@ -243,3 +243,92 @@ def test_report_files(spark, tmp_path):
     runs.write_report(df, str(tmp_path / "drift"), by="psi")
     assert spark.read.option("header", True).csv(str(tmp_path / "drift.csv")).count() == 2
     assert "<table" in (tmp_path / "drift.html").read_text()
+
+
+def test_a_run_scores_later_batches_from_disk(spark, tmp_path):
+    pdf = make_ledger(2500, 14, 120)
+    cut = pdf["ts"].quantile(0.85).normalize()
+    old, new = pdf[pdf["ts"] < cut], pdf[pdf["ts"] >= cut]
+    write_csv(old, tmp_path / "old.csv")
+    run = pipeline.prepare(spark, str(tmp_path / "old.csv"), str(tmp_path / "runs"))
+    scorer = runs.load_scorer(spark, run)
+    later = to_spark(spark, new)
+    found = scorer(later).toPandas()
+    rates = runs.load_rates(spark, run)
+    whole = pipeline.featured(to_spark(spark, pdf), rates, scorer.windows)
+    names = history.feature_names(scorer.windows)
+    expected = whole.where(F.col("ts") >= F.lit(cut.to_pydatetime()).cast("timestamp_ntz")).select("ts", *names).toPandas()
+    assert len(found) == len(new) and list(found.columns) == ["ts", *runs.manifest(spark, run)["feature_schema"]]
+    key = ["ts", *names]
+    a, b = (x[key].sort_values(key).reset_index(drop=True) for x in (found, expected))
+    np.testing.assert_allclose(a[names].to_numpy(float), b[names].to_numpy(float), rtol=1e-5, atol=1e-5)
+    half = new["ts"].median()
+    one, two = to_spark(spark, new[new["ts"] <= half]), to_spark(spark, new[new["ts"] > half])
+    apart = pd.concat([scorer(one).toPandas(), scorer.after(one)(two).toPandas()])[key].sort_values(key).reset_index(drop=True)
+    np.testing.assert_allclose(apart[names].to_numpy(float), b[names].to_numpy(float), rtol=1e-5, atol=1e-5)
+    quality = runs.manifest(spark, run)["quality"]
+    assert quality["rows"] == len(old) and quality["positives"] == int(old["label"].sum()) and quality["duplicate_rows"] == int(old.duplicated().sum())
+    rows, times = runs.load_rows(spark, run, "val"), runs.load_times(spark, run, "val")
+    assert rows.join(times, "row_id").count() == rows.count() == times.count()
+    with pytest.raises(FileNotFoundError):
+        runs.load_splits(spark, run, "later")
+
+
+def test_champion_is_loaded_as_saved(spark, tmp_path):
+    r = np.random.default_rng(1)
+    rows = [(float(a), float(b), int(a + 0.3 * b > 0.6), 1.0) for a, b in r.normal(size=(400, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, label int, sample_weight double")
+    train, val = df.limit(300), df.subtract(df.limit(300))
+    run = runs.new_run(spark, str(tmp_path))
+    for name, fit in (("lr", learners.logistic), ("gbt", lambda t, f: learners.boosted(t, f, rounds=12, depth=2, val=val))):
+        scorer = fit(train, ["a", "b"])
+        runs.publish_training(spark, run, name, {name: 0.5}, ["a", "b"], [{"c": 1.0}], scorer)
+        again, bundle = runs.load_champion(spark, run)
+        assert bundle["name"] == name and bundle["importances"]["a"] > bundle["importances"]["b"]
+        x, y = (np.sort([q.score for q in m(val).collect()]) for m in (scorer, again))
+        np.testing.assert_allclose(x, y)
+    assert len(again.model.stages[-1].trees) <= 12
+
+
+def test_command_line(spark, tmp_path, capsys):
+    write_csv(make_ledger(2500, 12, 200), tmp_path / "a.csv")
+    run = cli.main(["--source", str(tmp_path / "a.csv"), "--output", str(tmp_path / "runs"), "--warmup-days", "2", "--keep-sparse-tail"])
+    found = runs.manifest(spark, run)["configuration"]["split"]
+    assert capsys.readouterr().out.strip().endswith(run) and found["warmup_units"] == 2 and found["tail_min_share"] is None
+    assert cli.split_of({"warmup_days": None, "keep_sparse_tail": False}) == periods.SplitConfig()
+    for bad in ([], ["--source", "x", "--warmup-days", "two"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+
+
+def test_encoding_checks_its_rows_when_asked(spark):
+    config = encoding.EncoderConfig(("kind",), (), (2.0,))
+    for column, value in (("label", 3), ("w", -1.0)):
+        with pytest.raises(ValueError):
+            encoding.encode_training(golden(spark).withColumn(column, F.lit(value)), config, weight="w", check=True)
+
+
+def test_encoding_shares_one_grid(spark):
+    df = to_spark(spark, make_ledger(300))
+    config = encoding.EncoderConfig(("payment_format", "payment_currency"), (("from_bank", "from_account"), ("from_bank", "to_bank")))
+    plan = encoding.encode_training(df, config)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 15 and "Python" not in plan
+
+
+def test_large_files_are_digested_as_streams(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.csv").write_text("x" * (i + 1))
+    whole = sources.source_digest(spark, str(folder))
+    monkeypatch.setattr(sources, "WHOLE", 2)
+    assert sources.source_digest(spark, str(folder)) == whole
+
+
+def test_reports_are_whole_or_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "REPORT_ROWS", 5)
+    runs.write_report(spark.range(5).toDF("n"), str(tmp_path / "a"), by="n")
+    assert (tmp_path / "a.html").read_text().count("<tr>") == 5
+    with pytest.raises(ValueError):
+        runs.write_report(spark.range(6).toDF("n"), str(tmp_path / "b"))
+    assert not (tmp_path / "b.csv").exists()
