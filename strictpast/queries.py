@@ -590,14 +590,10 @@ def _(spark, sf):
 @query("backtest_summary")
 def _(spark, sf):
     rows = materialised(history.history(event_ledger(spark, sf).drop("score"), names=_MODEL_FEATURES), "backtest")
-    out = None
-    for fold in range(3):
-        part = {p: rows.where((F.col("sec") >= lo) & (F.col("sec") < hi)) for f, p, lo, hi in _folds(rows) if f == fold}
-        train = sampling.downsample_negatives(part["train"], 0.5, F.xxhash64("event_id", F.lit(fold)), least=1)
-        scored = learners.logistic(train, _MODEL_FEATURES)(part["evaluation"]).withColumn("target", F.col("label"))
-        one = metrics.budget_metrics(scored, 0.1, ["event_id"]).select(F.lit("logistic").alias("model"), F.lit(fold).alias("fold"), "precision", "recall", "alert_rate")
-        out = one if out is None else out.unionByName(one)
-    return learners.fold_summary(out, ["precision", "recall", "alert_rate"])
+    config = encoding.EncoderConfig((), (("from_bank", "from_account"), ("to_bank", "to_account")))
+    fits = {"logistic": learners.logistic, "boosted": lambda train, names: learners.boosted(train, names, depth=2, rounds=4)}
+    found = learners.backtest(rows, _folds(rows), config, _MODEL_FEATURES, fits, 0.1, ["event_id"])
+    return learners.fold_summary(found, ["precision", "recall", "alert_rate"])
 
 
 @query("alerts_per_sender_rank", event_sql("SELECT from_account, event_id, rn FROM (SELECT from_account, event_id, CAST(row_number() OVER (PARTITION BY from_account ORDER BY score DESC, event_id) AS INTEGER) AS rn FROM led) WHERE rn <= 3"))

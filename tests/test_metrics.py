@@ -144,3 +144,50 @@ def test_folds_hold_rows(spark):
         periods.planned_folds(df, 3, 3, 1, 1)
     with pytest.raises(ValueError):
         periods.planned_folds(df.limit(0))
+
+
+def test_resamples_against_brute_force(spark, monkeypatch):
+    pdf = scored(3, 400, 25)
+    df = spark.createDataFrame(pdf).withColumn("row", F.col("id"))
+    weights = learners.draws(pdf["id"].to_numpy(), np.arange(20), 5)
+    assert abs(weights.mean() - 1) < 0.05 and abs(weights.var() - 1) < 0.1
+
+    def weighted(w):
+        out, hits, seen = 0.0, 0.0, 0.0
+        for v in sorted(set(pdf["score"]), reverse=True):
+            m = (pdf["score"] == v).to_numpy()
+            pos = (w * pdf["target"])[m].sum()
+            hits, seen = hits + pos, seen + w[m].sum()
+            out += pos * hits / max(seen, 1)
+        return out / (w * pdf["target"]).sum()
+
+    expected = [weighted(weights[:, r]) for r in range(20)]
+    for rows in (1000, 60):
+        monkeypatch.setattr(learners, "BOOTSTRAP_ROWS", rows)
+        found = {r.replicate: r.precision for r in learners._resampled_precision(df, "score", 20, 5).collect()}
+        np.testing.assert_allclose([found[r] for r in range(20)], expected)
+    same = learners.bootstrap_difference(df.withColumn("other", F.col("score")), "score", "other", 10).first()
+    assert same["mean"] == same["low"] == same["high"] == same["share_better"] == 0
+    assert learners.bootstrap_difference(df.withColumn("target", F.lit(0)).withColumn("other", F.lit(1.0)), "score", "other", 5).first()["mean"] is None
+
+
+def test_search_closes_in_and_goes_on(monkeypatch):
+    grid = {"a": list(range(7)), "b": [0.1, 0.2, 0.4, 0.8]}
+    asked = []
+
+    def fit(train, features, a, b):
+        asked.append((a, b))
+        return lambda df: 1 - abs(a - 5) / 10 - abs(b - 0.4)
+
+    monkeypatch.setattr(learners, "average_precision_of", lambda x: x)
+    scorer, log = learners.search(fit, None, None, [], grid, 16, 3)
+    assert len(log) == len(set(asked)) == 16
+    first = log[:8]
+    centre = max(first, key=lambda x: x["average_precision"])
+    steps = lambda x, y: abs(x["a"] - y["a"]) + abs(grid["b"].index(x["b"]) - grid["b"].index(y["b"]))
+    untried = [{"a": a, "b": b} for a in grid["a"] for b in grid["b"] if {"a": a, "b": b} not in [{k: x[k] for k in "ab"} for x in first]]
+    assert steps(log[8], centre) == min(steps(x, centre) for x in untried)
+    assert scorer(None) == max(x["average_precision"] for x in log) == 1
+    asked.clear()
+    again, whole = learners.search(fit, None, None, [], grid, 16, 3, log[:11])
+    assert whole == log and asked[:5] == [(x["a"], x["b"]) for x in log[11:]] and again(None) == scorer(None)
