@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strictpast.functions.expressions import basic_features, epoch_seconds, floored
 from strictpast.operators import currency, encoding, history, periods, validate
-from strictpast.plans.storage import materialised
+from strictpast.plans.storage import materialised, scratch
 from strictpast.schema import ANCHOR_CURRENCY, IDENTIFIERS
 
 MODEL_PERIODS = ("train", "val", "threshold", "test")
@@ -120,11 +120,12 @@ def prepare(spark, source: str, parent: str, sample: bool = False, config: EtlCo
     from strictpast.sources.ledger import extract
     from strictpast.sources.runs import publish
 
-    raw, provenance = extract(spark, source, sample)
-    ledger = materialised(validate.validate_ledger(raw), "ledger")
-    report = validate.quality_report(ledger).join(validate.duplicate_rows(ledger, ledger.columns)).first().asDict()  # two rows of scalars
-    quality = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in report.items()}
-    result = transform(ledger, config)
-    kept = ledger.where(periods.period_of(result.metadata["periods"], epoch_seconds("ts")) != "tail")
-    state = history.next_state(history_rows(kept, result.rates), config.windows)
-    return publish(result, parent, provenance, {"sample": sample, **config.to_dict()}, state, quality)
+    with scratch():
+        raw, provenance = extract(spark, source, sample)
+        ledger = materialised(validate.validate_ledger(raw), "ledger")
+        report = validate.quality_report(ledger).first().asDict() | validate.duplicate_rows(ledger, ledger.columns).first().asDict()
+        quality = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in report.items()}
+        result = transform(ledger, config)
+        kept = ledger.where(periods.period_of(result.metadata["periods"], epoch_seconds("ts")) != "tail")
+        state = history.next_state(history_rows(kept, result.rates), config.windows)
+        return publish(result, parent, provenance, {"sample": sample, **config.to_dict()}, state, quality)

@@ -514,8 +514,8 @@ def _(spark, sf):
     p = F.col("paid").cast("double")
     rows = materialised(order_ledger(spark, sf).select("paid", p.alias("x")), "amounts")
     out = rows.agg(F.count("*").alias("rows"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("paid").alias("low"), F.max("paid").alias("high"))
-    cuts = quantiles(rows, [], "x", [0.25, 0.5, 0.75])
-    return rounded(out.join(F.broadcast(cuts.select(*[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]))), 3)  # one row each
+    cuts = quantiles(rows, [], "x", [0.25, 0.5, 0.75]).first()["q"]
+    return rounded(out.withColumns({f"q{i + 1}": F.lit(x) for i, x in enumerate(cuts)}), 3)
 
 
 @query("eda_accounts", order_sql("SELECT count(*) AS accounts FROM (SELECT from_bank, from_account FROM led UNION SELECT to_bank, to_account FROM led)"))

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from strictpast import cli, schema
 from strictpast.operators import currency, encoding, history, learners, periods, sampling, validate
 from strictpast.operators.history import next_state
-from strictpast.plans import pipeline
+from strictpast.plans import pipeline, storage
 from strictpast.sources import ledger as sources
 from strictpast.sources import runs
 from strictpast.sources.files import Files
@@ -332,3 +333,11 @@ def test_reports_are_whole_or_refused(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         runs.write_report(spark.range(6).toDF("n"), str(tmp_path / "b"))
     assert not (tmp_path / "b.csv").exists()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with storage.scratch():
+        kept = storage.materialised(spark.range(5), "kept")
+        folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
