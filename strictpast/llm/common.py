@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
+import warnings
 import zlib
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,10 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: The tables of the scratches that are open.
+_OPEN: list[list] = []
+
+
+@contextmanager
+def scratch():
+    """Intermediate tables written inside go on leaving, so a long session doesn't fill the shared folder.
+
+    What is computed from them must be read or written before.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for fs, target in _OPEN.pop():
+            fs.delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or with the ``scratch`` that this is called in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/strictpast/{name}-{uuid.uuid4().hex}"
@@ -46,6 +66,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
+    if _OPEN:
+        _OPEN[-1].append((fs, target))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,12 +113,16 @@ class Held:
 def bounded_sample(rows: DataFrame, group: str, limit: int, key: str = "id", most_groups: int = 256) -> DataFrame:
     """The ``limit`` rows of each group whose keys hash lowest (all, if fewer), as rows with their number ``rn``.
 
-    At most the ``most_groups`` largest groups are sampled, so the sample is bounded whatever the group column holds. Groups are counted first, so that only about twice the rows that stay go through the ranking, whatever a group's
-    size. The cut is by hash alone: with distinct keys a group falls short of its limit only if the hash fails it.
+    At most the ``most_groups`` largest groups are sampled, so the sample is bounded whatever the group column holds; a
+    warning tells of more. Groups are counted first, so that only about twice the rows that stay go through the ranking,
+    whatever a group's size. The cut is by hash alone: with distinct keys a group falls short of its limit only if the
+    hash fails it.
     """
-    found = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(most_groups)
-    counts = {r[0]: r[1] for r in found.collect()}
-    rows = rows.where(F.col(group).isin(list(counts))) if len(counts) == most_groups else rows
+    found = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(most_groups + 1).collect()
+    counts = {r[0]: r[1] for r in found[:most_groups]}
+    if len(found) > most_groups:
+        warnings.warn(f"only the {most_groups} largest groups of {group} are learned from", stacklevel=2)
+        rows = rows.where(F.col(group).isin(list(counts)))
     chance = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(1.0)
     for name, n in counts.items():

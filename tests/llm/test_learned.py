@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strictpast.llm import ann, html_extract, langid, maxent_lm, toxicity
+from strictpast.llm.common import bounded_sample, scratch, written
 
 # neighbours
 
@@ -135,6 +136,16 @@ def test_scores_depend_on_the_text_alone(corpus):
     assert max(abs(one[i] - two[i]) for i in one) < 1e-6
 
 
+def test_null_ids_and_more_languages_than_are_learned(spark):
+    model = langid.Model(["a", "b"], langid.Network(2, 8, 3), langid.Settings())
+    found = langid.predict(spark.createDataFrame([(None, "some text"), (None, None), (1, "some text")], "doc_id long, text string"), model).collect()
+    assert len(found) == 3 and len({r.score for r in found if r.lang_pred != "und"}) == 1 and sum(r.doc_id is None for r in found) == 2
+    rows = spark.createDataFrame([(i, f"l{i % 5}") for i in range(30)], "id long, lang string")
+    with pytest.warns(UserWarning, match="3 largest"):
+        some = bounded_sample(rows, "lang", 4, most_groups=3)
+    assert some.groupBy("lang").count().collect() and {r["count"] for r in some.groupBy("lang").count().collect()} == {4} and some.count() == 12
+
+
 def test_gradient_of_short_windows_is_right():
     net = langid.Network(3, 4, 1)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
@@ -338,6 +349,33 @@ def test_extraction_of_a_page(trees):
     assert text.split("\n") == ["Tom & Jerry", "First para\xadgraph with bold and a break, long enough to be text, it says so here.", "Second <tag> paragraph été, which also goes on for a while, and then ends.", "item one of the list", "item two of the list"]
 
 
+LINE = "The council met on Tuesday evening to discuss the new bridge across the river, and after two hours of debate it agreed on the plan."
+OTHERS = [
+    (
+        """<html><head><title>x</title><style>a{}</style></head><body class="home"><div id="top-bar"><a href="/">Daily News</a> <a href="/login">Log in</a></div>
+<ul class="main-menu"><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li><li><a href="/c">Culture</a></li></ul>
+<div class="wrapper"><div class="content"><h1>Council agrees on bridge</h1><p>%LINE%</p><p>Work is to begin in spring, said the mayor, who had asked for the money for years.</p><blockquote>We have waited long for this day, and it has come.</blockquote><p>%LINE% It will cost four million.</p></div>
+<div class="sidebar widget-area"><h3>Most read</h3><ul><li><a href="/1">Storm hits the coast</a></li><li><a href="/2">Ten recipes for autumn</a></li></ul></div></div>
+<form class="newsletter"><label>Get our newsletter</label><input type="text"><button>Subscribe</button></form><div id="footer"><p>Copyright 2024 Daily News. All rights reserved.</p></div></body></html>""",
+        ["Council agrees on bridge", LINE, "Work is to begin in spring, said the mayor, who had asked for the money for years.", "We have waited long for this day, and it has come.", LINE + " It will cost four million."],
+    ),
+    (
+        """<body><nav class="breadcrumb"><a href="/">Home</a> &gt; <a href="/docs">Docs</a></nav><main><h1>Install</h1><p>To install the program, unpack the archive and run the script that lies in its top folder.</p><pre>make install</pre><table><tr><td>Option</td><td>Meaning</td></tr><tr><td>prefix</td><td>where the files go</td></tr></table><ol><li>Unpack the archive into a folder of its own.</li><li>Run the script as the user who will use it.</li></ol><p>%LINE%</p></main><aside class="related"><a href="/a">Upgrade</a><a href="/b">Remove</a></aside><div class="cookie-banner">This site uses cookies. <a href="#">Accept</a></div><section id="comments"><h2>3 comments</h2><div class="comment"><p>Worked for me at once, thank you very much for writing this down.</p></div></section></body>""",
+        ["Install", "To install the program, unpack the archive and run the script that lies in its top folder.", "make install", "Option", "Meaning", "prefix", "where the files go", "Unpack the archive into a folder of its own.", "Run the script as the user who will use it.", LINE],
+    ),
+    (
+        """<div class="post"><div class="entry-title">A walk in the hills</div><div class="meta">by Ann, 3 May</div><div class="entry-content">%LINE%<br><br>%LINE% We went on until dusk.</div><div class="share"><a href="#">Share</a><a href="#">Tweet</a></div></div><div class="ad-slot">Buy two shoes and get one free today</div>""",
+        ["A walk in the hills", "by Ann, 3 May", LINE + " " + LINE + " We went on until dusk."],
+    ),
+]
+
+
+@pytest.mark.parametrize("number", range(3))
+def test_extraction_of_pages_unlike_the_generated(trees, number):
+    page, lines = OTHERS[number]
+    assert html_extract.extract([page.replace("%LINE%", LINE)], trees)[0].split("\n") == lines
+
+
 def test_decoding_keeps_no_child_of_a_dropped_element(trees):
     for seed in range(20):
         page = html_extract.Teacher(seed).lesson()[0]
@@ -368,3 +406,11 @@ def test_deep_elements_are_opened():
     for _ in range(400):
         node = node.children[0]
     assert [c.tag for c in node.children] == ["script", "p", "p"] and node.children[0].hidden and [c.items for c in node.children] == [[], ["one"], ["two"]]
+
+
+def test_scratch_tables_go(spark):
+    with scratch():
+        kept = written(spark.range(5), "kept")
+        assert kept.count() == 5
+    with pytest.raises(Exception):
+        kept.count()

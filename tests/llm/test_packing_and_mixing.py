@@ -170,3 +170,10 @@ def test_mixing_runs_no_python(domains):
     rates, _ = mixing.mixing_rates(df, labels)
     plan = rates._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_mixing_reads_very_long_texts(domains, spark):
+    _, df, labels = domains
+    long = spark.createDataFrame([(5000, "alpha beta " * 200_000, "clash", 1.0), (5001, "x" * 2_000_000, "clash", 1.0)], df.schema)
+    rates = {r.doc_id: r for r in mixing.mixing_rates(df.unionByName(long), labels)[0].collect()}
+    assert rates[5000].tokens == 400_000 and rates[5001].tokens == 1 and abs(sum(rates[5000].posteriors.values()) - 1) < 1e-9
