@@ -53,7 +53,7 @@ class Settings:
     members: int = 48
     buckets: int = 16
     listed: int = 1 << 17
-    hashed: int = 1 << 14
+    hashed: int = 1 << 16
     most_hashed: int = 1 << 18
     words_per_row: int = 128
     rounds: int = 4
