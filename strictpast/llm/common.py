@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import tempfile
@@ -11,6 +12,7 @@ import warnings
 import zlib
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,6 +112,25 @@ class Held:
         return self._open
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, and all of an executor's share its limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def frugal(run):
+    """``run`` for mapInArrow; what it and the task before have freed goes back to the system."""
+
+    def trimmed(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return trimmed
+
+
 def bounded_sample(rows: DataFrame, group: str, limit: int, key: str = "id", most_groups: int = 256) -> DataFrame:
     """The ``limit`` rows of each group whose keys hash lowest (all, if fewer), as rows with their number ``rn``.
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import Held, crc32_of_id, written
+from strictpast.llm.common import Held, crc32_of_id, frugal, written
 
 
 #: The low bits of a token's code tell its word (frequent) or bucket, the high bits hash a word that is not frequent.
@@ -122,7 +122,7 @@ def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield out()
 
-    parts = docs.select("text").mapInArrow(run, "word binary, bucket int, c long")
+    parts = docs.select("text").mapInArrow(frugal(run), "word binary, bucket int, c long")
     return parts.groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, vocabulary: Held, s: Settings) -> DataFrame:
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([made[0], part.column(0), part.column(1), *made[1:]], ["uid", "id", "train", "n_tokens", "n_listed", "ids", "base", "rare", "words", "times", "low"])
 
-    return docs.select("id", "train", "text").mapInArrow(run, "uid long, id long, train boolean, n_tokens long, n_listed long, ids binary, base double, rare double, words array<binary>, times array<long>, low array<int>")
+    return docs.select("id", "train", "text").mapInArrow(frugal(run), "uid long, id long, train boolean, n_tokens long, n_listed long, ids binary, base double, rare double, words array<binary>, times array<long>, low array<int>")
 
 
 class Model:
@@ -232,14 +232,24 @@ class Model:
     def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Rows of ``one`` per token, and the two context codes; ``starts`` are the first tokens of documents."""
         s = self.s
-        prev = np.empty(len(ids), np.int64)
+        prev = np.full(len(ids), VOID, np.int64)
         prev[1:], prev[starts] = ids[:-1], VOID
-        back = np.empty(len(ids), np.int64)
+        back = np.full(len(ids), VOID, np.int64)
         back[1:] = prev[:-1]
         back[starts] = VOID
         both = ((prev * 2654435761 + back * 40503 + 12345) >> 9) % s.hashed
         return [np.minimum(prev & VOID, s.contexts - 1), s.contexts + np.minimum(back & VOID, s.contexts - 1), 2 * s.contexts + both], prev, back
 
+    def steps(self, ids: np.ndarray, starts: np.ndarray):
+        """(slice, ids, features) of ``batch`` tokens at a time, so features of a batch of documents are never all in memory."""
+        for a in range(0, len(ids), self.s.batch):
+            lo, hi = max(0, a - 2), min(len(ids), a + self.s.batch)  # two tokens before are context
+            own = ids[lo:hi].astype(np.int64)
+            first, last = np.searchsorted(starts, (lo, hi))
+            rows, prev, back = self.features(own, starts[first:last] - lo)
+            cut = slice(a - lo, None)
+            yield slice(a, hi), own[cut], [r[cut] for r in rows], prev[cut], back[cut]
+
     def inner_rows(self, own: np.ndarray, prev: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
         return [((own * 7919 + x * 104729 + salt) * 2654435761 >> 9) % self.s.hashed for x, salt in ((prev, 1), (back, 2))]
 
@@ -255,31 +265,43 @@ class Model:
         s = self.s
         ids = ids & VOID
         own = np.where(ids < s.frequent, ids // s.members, s.classes + ids - s.frequent)
-        score = self.one[rows[0]]
+        score = self.one.take(rows[0], 0)
         for r in rows[1:]:
-            score += self.one[r]
+            score += self.one.take(r, 0)
         score += self.prior
         p = self._soft(score)
         at = np.flatnonzero(ids < s.frequent)
         cls = own[at]
         inner = self.inner_rows(cls, prev[at], back[at])
-        q = self.inner[cls]
+        q = self.inner.take(cls, 0)
         for r in inner:
-            q += self.two[r]
+            q += self.two.take(r, 0)
         return own, p, at, inner, self._soft(q), ids[at] % s.members
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The log10 probability of each token's class and, in a frequent class, of the token within it."""
         out = np.empty(len(ids))
-        rows, prev, back = self.features(ids, starts)
-        for a in range(0, len(ids), self.s.batch):
-            cut = slice(a, a + self.s.batch)
-            own, p, at, _, q, member = self.forward(ids[cut], [r[cut] for r in rows], prev[cut], back[cut])
+        for cut, *part in self.steps(ids, starts):
+            own, p, at, _, q, member = self.forward(*part)
             got = np.log10(p[np.arange(len(own)), own].astype(np.float64) + 1e-30)
             got[at] += np.log10(q[np.arange(len(at)), member].astype(np.float64) + 1e-30)
             out[cut] = got
         return out
 
+    @staticmethod
+    def _sums(error: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What ``np.add.reduceat(error[at], first)`` is, which is slow by rows: long runs at once, of short ones a member at a time."""
+        size = np.diff(np.r_[first, len(at)])
+        out = error.take(at[first], 0)
+        for i in np.flatnonzero(size > 16).tolist():
+            out[i] = error.take(at[first[i] : first[i] + size[i]], 0).sum(0)
+        short, k = np.flatnonzero((size > 1) & (size <= 16)), 1
+        while len(short):
+            out[short] += error.take(at[first[short] + k], 0)
+            k += 1
+            short = short[size[short] > k]
+        return out
+
     def _step(self, which: int, rows: list[np.ndarray], error: np.ndarray) -> None:
         """One gradient step, with the rate of each row shrinking by its own past gradients."""
         table, speed = (self.one, self.two)[which], self.speed[which]
@@ -287,18 +309,16 @@ class Model:
         order = np.argsort(r, kind="stable")
         sorted_rows = r[order]
         first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        g = np.add.reduceat(error[order % len(error)], first, axis=0)
+        g = self._sums(error, order % len(error), first)
         at = sorted_rows[first]
         speed[at] += (g * g).mean(1)
         table[at] -= self.s.rate * g / np.sqrt(speed[at])[:, None]
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        rows, prev, back = self.features(ids, starts)
-        for a in range(0, len(ids), self.s.batch):
-            cut = slice(a, a + self.s.batch)
-            own, p, at, inner, q, member = self.forward(ids[cut], [r[cut] for r in rows], prev[cut], back[cut])
+        for _, part, rows, prev, back in self.steps(ids, starts):
+            own, p, at, inner, q, member = self.forward(part, rows, prev, back)
             p[np.arange(len(own)), own] -= 1
-            self._step(0, [r[cut] for r in rows], p)
+            self._step(0, rows, p)
             if len(at):
                 q[np.arange(len(at)), member] -= 1
                 self._step(1, inner, q)
@@ -308,7 +328,7 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch of documents, and where each begins."""
     parts = column.to_pylist()
     lengths = np.array([len(x) // 4 for x in parts], np.int64)
-    ids = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
+    ids = np.frombuffer(b"".join(parts), np.uint32)
     return ids, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
@@ -356,7 +376,7 @@ def train(encoded: DataFrame, model: Model, s: Settings) -> Model:
 
         mine = rows.where(F.col("turn") == turn % s.share).select(F.pmod(F.shiftrightunsigned("mark", 20), F.lit(learners)).cast("int").alias("learner"), "ids", "mark")
         dealt = mine.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "mark").select("learner", "ids")
-        found = dealt.mapInArrow(run, "part int, at int, learner int, seen long, body binary")
+        found = dealt.mapInArrow(frugal(run), "part int, at int, learner int, seen long, body binary")
         merged = found.groupBy("part", "at").applyInArrow(mean, "part int, at int, body binary").toArrow()  # the size of one model
         model = _copy(model)
         tables = (model.one, model.two, model.speed[0][:, None], model.speed[1][:, None])
@@ -408,7 +428,7 @@ def score_documents(docs: DataFrame, train_rule, settings: Settings = Settings()
         F.sum(n * (F.when(F.col("c") > 0, F.log10(F.greatest("c", F.lit(1)).cast("double"))).otherwise(F.element_at(unseen, low)) - F.element_at(whole, low))).alias("far_model"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known"),
     )
-    scored = encoded.select("uid", "ids").mapInArrow(run, "uid long, model double")
+    scored = encoded.select("uid", "ids").mapInArrow(frugal(run), "uid long, model double")
     final = encoded.select("uid", "id", "train", "n_tokens", "n_listed", "base", "rare").join(scored, "uid").join(sums, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = F.col("model") + F.col("rare") + zero("far_model") if vocabulary.total else F.lit(0.0)

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -235,6 +237,30 @@ def test_scores_do_not_hang_on_the_layout(corpus):
         assert (r.score, r.base_score) == pytest.approx((two[k].score, two[k].base_score), rel=1e-6)
 
 
+def test_learning_holds_features_of_a_batch_only():
+    s = maxent_lm.Settings(classes=4, members=8, buckets=4, hashed=256, batch=4096)
+    vocabulary = maxent_lm.Vocabulary([f"w{i}".encode() for i in range(32)], np.arange(40, 8, -1), 10**6, 100, np.ones(4), np.ones(4))
+    r = np.random.default_rng(6)
+    ids, starts = r.integers(0, 36, 500_000).astype(np.uint32), np.arange(0, 500_000, 250)
+    model = maxent_lm.Model(s, vocabulary)
+    tracemalloc.start()
+    model.learn(ids, starts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12e6  # all features at once are six arrays of 4 MB
+    whole = maxent_lm.Model(replace(s, batch=1 << 20), vocabulary)
+    whole.one, whole.two = model.one, model.two
+    np.testing.assert_allclose(model.log10(ids, starts), whole.log10(ids, starts), rtol=1e-5)
+
+
+def test_gradients_are_summed_by_row():
+    r = np.random.default_rng(7)
+    rows = np.sort(np.minimum(r.zipf(1.5, 3000), 200))
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    error, at = r.normal(size=(1000, 5)), r.integers(0, 1000, 3000)
+    np.testing.assert_allclose(maxent_lm.Model._sums(error, at, first), np.add.reduceat(error[at], first, axis=0), atol=1e-9)
+
+
 def test_hashed_rows_grow_with_the_vocabulary():
     s = maxent_lm.Settings()
     assert [s.grown(n).hashed for n in (0, 1 << 21, (1 << 21) + 1, 10**7, 10**12)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 18]
