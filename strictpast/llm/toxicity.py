@@ -125,19 +125,32 @@ def alike(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, groups: int
 
 
 class BlockMaxIndex:
-    """Postings by term and block of alike rows; a cell (term, block) knows the largest weight of its postings."""
+    """Postings by term and block of alike rows; a cell (term, block) knows the largest weight of its postings.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
+    The ``dense`` most frequent terms, of those that a sixteenth of the rows have, are columns of a matrix instead: their
+    part of all similarities is one product for a batch of queries, and a block's bound holds it exactly.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int, dense: int = 256):
         self.rows, self.block = len(vectors), block
         self.blocks = max(1, -(-len(vectors) // block))
-        order = alike(vectors, terms)
+        self.order = order = alike(vectors, terms)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         term = np.concatenate([np.zeros(0, np.int64), *(v[0] for v in vectors)])
         at = np.repeat(place, [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])
+        has = np.bincount(term, minlength=terms)
+        often = np.argsort(-has, kind="stable")[:dense]
+        often = often[16 * has[often] >= max(16, len(vectors))]
+        self.column = np.full(terms, -1)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.rows))
+        column = self.column[term]
+        self.dense[column[column >= 0], at[column >= 0]] = weight[column >= 0]
+        term, at, weight = term[column < 0], at[column < 0], weight[column < 0]
         by = np.lexsort((at, term))
-        self.row, self.weight = order[at[by]], weight[by]
+        self.row, self.weight = at[by], weight[by]
         key = term[by] * self.blocks + at[by] // block
         self.first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         self.size = np.diff(np.r_[self.first, len(key)])
@@ -145,21 +158,34 @@ class BlockMaxIndex:
         self.place = key[self.first] % self.blocks
         self.cells = np.searchsorted(key[self.first] // self.blocks, np.arange(terms + 1))
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, similarities) of the k nearest with a similarity above 0, nearest first, ties to smaller rows."""
+    def frequent_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, rows in blocks' order): what the terms of the matrix give to each similarity."""
+        asked = np.zeros((len(queries), len(self.dense)))
+        for n, (ids, weights) in enumerate(queries):
+            column = self.column[ids]
+            asked[n, column[column >= 0]] = weights[column >= 0]
+        return asked @ self.dense
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, similarities) of the k nearest with a similarity above 0, nearest first, ties to smaller rows.
+
+        ``part`` is the query's row of ``frequent_part``, where that is known.
+        """
         if not len(ids) or not self.rows:
             return np.zeros(0, np.int64), np.zeros(0)
+        sim = self.frequent_part([(ids, weights)])[0] if part is None else part.copy()
         many = self.cells[ids + 1] - self.cells[ids]
         cell, asked = _spread_out(self.cells[ids], many), np.repeat(weights, many)
         block = self.place[cell]
-        bound = np.bincount(block, self.most[cell] * asked, self.blocks)
+        bound = np.bincount(block, self.most[cell] * asked, self.blocks) + np.maximum.reduceat(sim, np.arange(0, self.rows, self.block))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        sim, last = np.zeros(self.rows), self.rows - min(k, self.rows)
-        done, step, best = 0, 3, 0.0
+        last = self.rows - min(k, self.rows)
+        # What rows of blocks not yet read have so far only falls short, so the k-th best is never taken too high.
+        done, step, best = 0, 3, np.partition(sim, last)[last]
         while done < len(order):
             # A bound within rounding of the k-th best may hold a tie, so it is still read.
-            open_ = int((bound[order[done:]] >= best - 1e-9).sum()) if done else step
+            open_ = int((bound[order[done:]] >= best - 1e-9).sum())
             if not open_:
                 break
             now = np.zeros(self.blocks, bool)
@@ -170,9 +196,10 @@ class BlockMaxIndex:
             sim += np.bincount(self.row[at], self.weight[at] * np.repeat(asked[mine], size), self.rows)
             best = np.partition(sim, last)[last]
             done, step = done + min(step, open_), 4 * step
-        near = np.flatnonzero((sim > 0) & (sim >= best - 1e-9))
-        near = near[np.lexsort((near, -np.round(sim[near], 12)))][:k]
-        return near, sim[near]
+        found = np.flatnonzero((sim > 0) & (sim >= best - 1e-9))
+        near, sim = self.order[found], sim[found]
+        by = np.lexsort((near, -np.round(sim, 12)))[:k]
+        return near[by], sim[by]
 
 
 @dataclass
@@ -194,10 +221,13 @@ class Model:
         z = self.fit @ _inputs(np.array([vote]), np.array([best]))[0]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        found = words(text)
-        near, sim = self.index.nearest(*self.space.vector(list(found), list(found.values())), self.k)
-        return (self.probability(self.vote(near, sim), sim[0]) if len(near) else self.none), near, sim
+    def scores(self, texts: list[str | None]):
+        """(probability, nearest rows, their similarities) of each text."""
+        for at in range(0, len(texts), 64):
+            vectors = [self.space.vector(list(x), list(x.values())) for x in map(words, texts[at : at + 64])]
+            for v, part in zip(vectors, self.index.frequent_part(vectors), strict=True):
+                near, sim = self.index.nearest(*v, self.k, part)
+                yield (self.probability(self.vote(near, sim), sim[0]) if len(near) else self.none), near, sim
 
 
 def _inputs(vote: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -255,8 +285,8 @@ def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 scores, evidence = [], []
-                for text in part.column(1).to_pylist():
-                    p, near, sim = own.score(text) if isinstance(own, Model) else (own, (), ())
+                texts = part.column(1).to_pylist()
+                for p, near, sim in own.scores(texts) if isinstance(own, Model) else repeat((own, (), ()), len(texts)):
                     scores.append(p)
                     evidence.append([{"id": int(own.ids[i]), "toxic": int(own.toxic[i]), "similarity": float(s)} for i, s in zip(near[:3], sim[:3], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, shape)], ["id", "score", "evidence"])

@@ -288,6 +288,21 @@ def test_neighbours_are_exact():
         np.testing.assert_allclose(got, sim[near])
 
 
+def test_frequent_terms_are_scored_for_a_batch_of_queries():
+    r = np.random.default_rng(5)
+    vectors = []
+    for _ in range(400):
+        ids = np.unique(np.minimum(r.zipf(1.3, r.integers(1, 60)) - 1, 499))
+        w = r.integers(1, 9, len(ids)).astype(float)
+        vectors.append((ids, w / np.sqrt((w**2).sum())))
+    index, plain = toxicity.BlockMaxIndex(vectors, 500, 16, 8), toxicity.BlockMaxIndex(vectors, 500, 16, 0)
+    assert len(index.dense) == 8 and not len(plain.dense) and len(index.row) + np.count_nonzero(index.dense) == len(plain.row)
+    for v, part in zip(vectors, index.frequent_part(vectors), strict=True):
+        for found in (index.nearest(*v, 9, part), index.nearest(*v, 9)):
+            assert found[0].tolist() == plain.nearest(*v, 9)[0].tolist()
+            np.testing.assert_allclose(found[1], plain.nearest(*v, 9)[1], atol=1e-12)
+
+
 def test_toxicity(spark, nothing):
     r = random.Random(3)
     rows, labels = [], []
