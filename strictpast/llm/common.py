@@ -112,21 +112,27 @@ class Held:
         return self._open
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers live on from stage to stage, and all of an executor's share its limit."""
+def give_back(keep: tuple[str, ...] = ()) -> None:
+    """Return freed memory to the system: workers live on from stage to stage, and all of an executor's share its limit.
+
+    Of what ``once_a_process`` has kept, only the names in ``keep`` stay.
+    """
+    kept = vars(sys.modules.get(_KEPT, types.ModuleType(_KEPT)))
+    for name in [x for x in kept if x not in keep and not x.startswith("__")]:
+        del kept[name]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
         trim(0)
 
 
-def frugal(run):
-    """``run`` for mapInArrow; what it and the task before have freed goes back to the system."""
+def frugal(run, *keep: str):
+    """``run`` for mapInArrow; what it and the task before have freed or kept, but for ``keep``, goes back to the system."""
 
     def trimmed(batches):
-        give_back()
+        give_back(keep)
         yield from run(batches)
-        give_back()
+        give_back(keep)
 
     return trimmed
 
@@ -153,9 +159,12 @@ def bounded_sample(rows: DataFrame, group: str, limit: int, key: str = "id", mos
     return rows.where(chance < share).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)
 
 
+_KEPT = "_strictpast_kept"
+
+
 def once_a_process(name: str, make):
     """What ``make`` returns, kept in a worker process from task to task."""
-    kept = sys.modules.setdefault("_strictpast_kept", types.ModuleType("_strictpast_kept")).__dict__
+    kept = vars(sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)))
     if name not in kept:
         kept[name] = make()
     return kept[name]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import Held, bounded_sample, crc32_of_id
+from strictpast.llm.common import Held, bounded_sample, crc32_of_id, frugal
 
 
 @dataclass(frozen=True)
@@ -285,7 +285,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def learned(docs: DataFrame, settings: Settings = Settings()) -> Model:
@@ -310,7 +310,7 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: flo
             yield batch.filter(pa.array([bool(x) for x in keep]))
 
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names may hold dots
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(frugal(run), plain.schema).toDF(*names)
 
 
 def op3_langid(spark, sf_dir):

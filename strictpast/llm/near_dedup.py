@@ -1,14 +1,16 @@
-"""Near-duplicate removal by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets verify them.
+"""Near-duplicate removal: SimHash blocks find candidates, the Jaccard similarity of exact word shingles verifies them.
 
 A text's set holds the XXH64 of its shingles of ``words`` words, ASCII-lower-cased and split at ASCII white space; a text
 of fewer words is one shingle, a text without words (null and empty too) has the empty set and links to others such.
 Sets of a similarity of ``least`` or more link, and of each component the row with the smallest id stays.
 
-Equal sets collapse to one before any join. Each of ``bands`` keys is the hash of ``rows`` minima, so a pair at
-similarity 0.8 shares no key with a chance of (1 - 0.8^3)^24, 3 in 10^8, and more similar pairs with less. Sets that share a
-key are verified together, by a spanning forest of their links and not all pairs; equal groups are verified once. A
-group of more than ``ROOM`` hashes is compared with one hub, row by row, and only what is not near the hub is compared
-with the rest, in chunks.
+Equal sets collapse to one before any join. A shingle's code is a row of random signs, chosen and signed by its hash; a
+fingerprint bit is set where the codes of a set sum to more than zero. ``BLOCKS`` blocks of ``WIDE`` bits are join keys, and
+of the sets that share a key those within ``REACH`` of ``SKETCH`` further bits, directly or through others, are verified
+together, by a spanning forest of their links and not all pairs; equal groups are verified once. Sets at similarity 0.8
+differ in 0.15 of the bits (0.19, if they hold four and five shingles), so such a pair shares no block with a chance of
+10^-4 (0.007), and more similar pairs with less. A group of more than ``ROOM`` hashes is compared with one hub, row by
+row, and only what is not near the hub is compared with the rest, in chunks.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strictpast.llm.common import Held, written
+from strictpast.llm.common import Held, frugal, once_a_process, written
 from strictpast.llm.components import components
 from strictpast.llm.simhash import keep_representatives
 
-_SEEDS = np.random.default_rng(17).integers(0, 1 << 63, 24 * 3, np.uint64) * np.uint64(2) + np.uint64(1)
+BLOCKS, WIDE = 72, 13
+SKETCH, REACH = 128, 40
+_CELLS = 1024
+#: Rows that share a key and are compared by their sketches; more go on as one group.
+CROWD = 1 << 20
 
 _SLOTS = 1 << 23
 #: Hashes of a group that one task verifies, 8 MB; larger groups are cut.
@@ -39,15 +45,119 @@ def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in found], np.uint64))
 
 
-def band_keys(hashes: np.ndarray, bands: int = 24) -> list[int]:
-    """One signed 64-bit key a band; none for the empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * _SEEDS).min(0), out=least)
-    body = least.reshape(bands, -1)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(body)], np.uint64).view(np.int64).tolist()
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, bytes): the SimHash of each set, all blocks and then the sketch."""
+    bits = BLOCKS * WIDE + SKETCH
+    codes = once_a_process("simhash codes", lambda: (np.random.default_rng(17).integers(0, 2, (_CELLS, bits)) * 2 - 1).astype(np.float32))
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sign = (flat >> np.uint64(10) & np.uint64(1)).astype(float) * 2 - 1
+    sums = np.bincount(owner * _CELLS + (flat % np.uint64(_CELLS)).astype(np.int64), sign, len(sets) * _CELLS)
+    # Sums of whole numbers, so exact in any order.
+    return np.packbits(sums.reshape(-1, _CELLS).astype(np.float32) @ codes > 0, axis=1)
+
+
+def block_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, BLOCKS) keys that name the block and hold its bits, and (sets, 2) words of the sketch."""
+    bits = np.unpackbits(prints, axis=1, count=BLOCKS * WIDE + SKETCH)
+    blocks = bits[:, : BLOCKS * WIDE].reshape(-1, BLOCKS, WIDE) @ (1 << np.arange(WIDE))
+    return (np.arange(BLOCKS) << WIDE) + blocks, np.packbits(bits[:, BLOCKS * WIDE :], axis=1).view(np.uint64)
+
+
+def close_groups(key: np.ndarray, sketch: np.ndarray, sweep: int = 4096) -> np.ndarray:
+    """For rows in the order of their keys: the first row of those of the same key that are close, directly or through others."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[starts, len(key)])
+    root = np.arange(len(key))
+    far = np.repeat(starts + size, size)
+    at, step, left, right = np.flatnonzero(np.repeat(size <= sweep, size)), 1, [], []
+    while len(at):  # all pairs of the buckets at once, by how far apart they stand
+        at = at[at + step < far[at]]
+        near = at[np.bitwise_count(sketch[at] ^ sketch[at + step]).sum(1) <= REACH]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+    left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    while len(left):
+        least = np.minimum(root[left], root[right])
+        np.minimum.at(root, left, least)
+        np.minimum.at(root, right, least)
+        root = root[root]
+        apart = root[left] != root[right]
+        if not apart.any():
+            break
+    for first, n in zip(starts[size > sweep].tolist(), size[size > sweep].tolist(), strict=True):
+        rest = np.arange(first, first + n)
+        while len(rest):
+            top, wave, rest = rest[0], rest[:1], rest[1:]
+            while len(wave) and len(rest):
+                near = np.zeros(len(rest), bool)
+                for i in wave:
+                    near |= np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1) <= REACH
+                    if near.all():
+                        break
+                wave, rest = rest[near], rest[~near]
+                root[wave] = top
+    return root
+
+
+def candidates(single: DataFrame, most: int = CROWD) -> DataFrame:
+    """(key, digest) of groups of two or more of ``single`` (digest, print) that share a block and are close.
+
+    More than ``most`` rows with one key are one group, close or not, and are held by no task.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys, sketch = block_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1))
+                digest = np.repeat(part.column(0).to_numpy(), BLOCKS)
+                one, two = (np.repeat(x, BLOCKS).view(np.int64) for x in sketch.T)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel().astype(np.int32), digest, one, two)], ["block", "digest", "one", "two"])
+
+    def group(batches):
+        held, crowd = [], None  # the rows of the last key so far; the key whose rows are too many
+
+        def out():
+            key, digest, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            root = close_groups(key, np.stack([one, two], 1).view(np.uint64))  # of signed numbers bits are counted without sign
+            many = np.bincount(root, minlength=len(root))[root] > 1
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            inside = root - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+            yield pa.RecordBatch.from_arrays([pa.array((key[many].astype(np.int64) << 32) + inside[many]), pa.array(digest[many])], ["key", "digest"])
+
+        def whole(key, digest):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(digest), int(key) << 32)), pa.array(digest)], ["key", "digest"])
+
+        for batch in batches:
+            part = [x.to_numpy() for x in batch.columns]
+            while len(part[0]):
+                if crowd is not None:  # what is left of it passes through
+                    n = int(np.searchsorted(part[0], crowd, "right"))
+                    yield whole(crowd, part[1][:n])
+                    part = [x[n:] for x in part]
+                    crowd = crowd if not len(part[0]) else None
+                    continue
+                last = part[0][-1]
+                cut = int(np.searchsorted(part[0], last))
+                if cut:
+                    held.append([x[:cut] for x in part])
+                if held and held[-1][0][-1] != last:
+                    yield from out()
+                held.append([x[cut:] for x in part])
+                if sum(len(x[0]) for x in held) > most:
+                    crowd = last
+                    for x in held:
+                        yield whole(crowd, x[1])
+                    held.clear()
+                break
+        if held:
+            yield from out()
+
+    dealt = single.select("digest", "print").mapInArrow(frugal(spread), "block int, digest long, one long, two long").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(frugal(group), "key long, digest long")
 
 
 def digests(sets: list[bytes]) -> pa.Array:
@@ -90,7 +200,7 @@ def _links(df: DataFrame, least: float) -> DataFrame:
                     b.append(group[root]["digest"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return df.select("group").mapInArrow(verify, "a long, b long")
+    return df.select("group").mapInArrow(frugal(verify), "a long, b long")
 
 
 def _near_hub(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -140,15 +250,14 @@ def near_components(docs: DataFrame, least: float = 0.8, words: int = 5, id_col:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 found = [shingles(x, words) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), digests([x.tobytes() for x in found]), pa.array([len(x) for x in found], pa.int64()), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))], ["id", "digest", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), digests([x.tobytes() for x in found]), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in fingerprints(found)], pa.binary())], ["id", "digest", "size", "print"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    found = written(rows.mapInArrow(prints, "id long, digest long, size long, keys array<long>"), "prints")
+    found = written(rows.mapInArrow(frugal(prints, "simhash codes"), "id long, digest long, size long, print binary"), "prints")
     # Copies collapse before the keys are spread, so a text that a third of all rows carry is one member.
-    single = found.groupBy("digest").agg(F.min("id").alias("smallest"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = written(single.where("smallest is not null"), "single").select("digest", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("whole")).where("n > 1")
-    members = written(keyed.join(shared, "key"), "members")
+    single = written(found.where("id is not null and size > 0").dropDuplicates(["digest"]).select("digest", "size", "print"), "single")
+    keyed = written(candidates(single).join(single.select("digest", "size"), "digest"), "keyed")
+    members = keyed.join(keyed.groupBy("key").agg(F.sum("size").alias("whole")), "key")
     few = members.where(F.col("whole") <= room).groupBy("key").agg(F.sort_array(F.collect_set("digest")).alias("members")).select("members").distinct()
     few = written(few.withColumn("number", F.monotonically_increasing_id()), "groups").select("number", F.explode("members").alias("digest"))
     many = members.where(F.col("whole") > room).select("key", "digest", "size")
@@ -172,7 +281,7 @@ def near_components(docs: DataFrame, least: float = 0.8, words: int = 5, id_col:
                 again = [shingles(x, words).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), digests(again), pa.array(again, pa.binary())], ["id", "digest", "hashes"])
 
-    again = rows.where("id is not null").select("id", "text", slot).mapInArrow(read_again, "id long, digest long, hashes binary")
+    again = rows.where("id is not null").select("id", "text", slot).mapInArrow(frugal(read_again), "id long, digest long, hashes binary")
     # Rows that share an id may differ, so the digest is part of the match.
     sets = written(again.join(wanted, ["id", "digest"]).select("digest", "hashes").dropDuplicates(["digest"]), "sets")
     links = _links(few.join(sets, "digest").groupBy("number").agg(F.collect_list(F.struct("digest", "hashes")).alias("group")), least)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from strictpast.llm.common import Held, once_a_process, written
+from strictpast.llm.common import Held, frugal, once_a_process, written
 
 #: A length of n pieces has about sqrt(n) / SALT salts of SALT * sqrt(n) pieces each: neither the salts of a length,
 #: which are summed in one task, nor the pieces of a salt grow as the length does.
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in rows.items()], list(rows))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(frugal(run, f"words {tokenizer_path}"), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = 4096) -> list[tuple[int, int, int, int, int, int]]:
@@ -245,7 +245,7 @@ def place(found: DataFrame, capacity: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(sequence), pa.array(offset)], [batch.schema.names[i] for i in keep] + ["sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,3 +78,49 @@ def test_crowded_groups_are_cut(spark):
     assert {i for i, c in whole.items() if i == c} == slow_kept(rows)
     for room in (150, 2000):
         assert {x.doc_id: x.component_id for x in near_dedup.near_components(docs, room=room).collect()} == whole
+
+
+def test_candidates_are_simhash_blocks(spark):
+    r = random.Random(12)
+    sets, pairs = [], []
+    for n in range(120):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([8, 40, 300]))]
+        sets.append(near_dedup.shingles(" ".join(words).encode()))
+        words[r.randrange(4)] = "other" if len(words) > 8 else words[0]
+        sets.append(near_dedup.shingles(" ".join(words).encode()))
+    prints = near_dedup.fingerprints(sets)
+    for x, p in zip(sets[:4], prints[:4], strict=True):  # whatever else is in the batch
+        assert (near_dedup.fingerprints([x])[0] == p).all()
+    rows = [(n, p.tobytes()) for n, p in enumerate(prints)]
+    single = spark.createDataFrame(rows, "digest long, print binary").repartition(3)
+    groups = {}
+    for x in near_dedup.candidates(single).collect():
+        groups.setdefault(x.key, set()).add(x.digest)
+    assert all(len(g) > 1 for g in groups.values())
+    found = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    for a in range(240):
+        for b in range(a + 1, 240):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if not np.array_equal(sets[a], sets[b]) and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                pairs.append((a, b))
+    assert len(pairs) > 50 and found >= set(pairs) and len(found) < 2 * len(pairs) + 100
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 40)
+    crowd = {}
+    for x in near_dedup.candidates(single, 1).collect():  # keys that go over the end of a batch have too many rows
+        crowd.setdefault(x.key, set()).add(x.digest)
+    spark.conf.set(name, old)
+    assert sum(map(len, crowd.values())) > sum(map(len, groups.values()))
+    assert {(a, b) for g in crowd.values() for a in g for b in g if a < b} >= found
+
+
+def test_close_groups_of_small_and_large_buckets():
+    r = np.random.default_rng(3)
+    key = np.sort(r.integers(0, 40, 3000))
+    sketch = r.integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
+    sketch[1::3] = sketch[::3] ^ np.uint64(0b10110001)
+    small, large = near_dedup.close_groups(key, sketch), near_dedup.close_groups(key, sketch, 10)
+    assert (small == large).all() and (key[small] == key).all()
+    together = small[1::3] == small[::3]
+    assert (together == (key[1::3] == key[::3])).all() and (np.bincount(small) > 1).sum() > 0.99 * together.sum()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strictpast.llm import mixing, packing
+from strictpast.llm import common, mixing, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["It's 'tis don't!! I'LL <|endoftext|>x a<|startoftext|>", "x y z ｚｆ 1234.5% café CAFÉ café", "İstanbul ΣΑΣ ſ ǅ \x1c b\x85c …— 'S'll", "", "\n\t ", "日本語。 한국 ½ ²", "a.'s ... ''' 're", "<|ENDOFTEXT|> <|StartOfText|>x <|endoftext|><|EndOfText|> a<|ENDOFTEXT|>b. <|STARTOFTEXT|>!"]
@@ -177,3 +177,11 @@ def test_mixing_reads_very_long_texts(domains, spark):
     long = spark.createDataFrame([(5000, "alpha beta " * 200_000, "clash", 1.0), (5001, "x" * 2_000_000, "clash", 1.0)], df.schema)
     rates = {r.doc_id: r for r in mixing.mixing_rates(df.unionByName(long), labels)[0].collect()}
     assert rates[5000].tokens == 400_000 and rates[5001].tokens == 1 and abs(sum(rates[5000].posteriors.values()) - 1) < 1e-9
+
+
+def test_workers_forget_what_other_stages_kept():
+    common.once_a_process("one", lambda: 1)
+    common.once_a_process("two", lambda: 2)
+    run = common.frugal(lambda batches: (x for x in batches), "two")
+    assert list(run([5, 6])) == [5, 6]
+    assert common.once_a_process("one", lambda: 3) == 3 and common.once_a_process("two", lambda: 3) == 2
