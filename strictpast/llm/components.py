@@ -13,16 +13,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     Large: every larger neighbour of a node links to the smallest of the node and its neighbours.
     Small: every smaller neighbour, and the node, link to the smallest neighbour.
-    The minimum is a map-side-combined aggregate; the join back is an ordinary equi-join, which adaptive
-    execution splits where a hub owns many edges.
+    The minimum is a map-side-combined aggregate; the join back is a merge join, which adaptive execution
+    splits where a hub owns many edges; a broadcast would gather in the driver what grows with the input.
     """
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = near.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        joined = edges.join(least, "a")
+        joined = edges.join(least.hint("merge"), "a")
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 

@@ -99,7 +99,7 @@ def links(distinct: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataF
         raise ValueError("distance must be 1 to 4")
     keyed = distinct.select(F.explode(_keys(distance)).alias("key"), "fp")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "key")
+    members = keyed.join(shared.hint("merge"), "key")  # merged, as are all joins here: a broadcast of what grows with the input fills the driver
 
     def verify(batches):
         for batch in batches:
@@ -119,7 +119,7 @@ def links(distinct: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataF
     masks = F.array(*[F.lit(int(np.uint64(x).view(np.int64))) for x in flips])
     points = crowded.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), (F.bit_count("mask") <= near).alias("close"))
     hubs = points.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").select("point", "b")
-    far = points.join(hubs, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    far = points.join(hubs.hint("merge"), "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return small.unionByName(far).distinct()
 
 
@@ -128,10 +128,10 @@ def near_components(docs: DataFrame, distance: int = 4, words: int = 4, bucket:
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     least = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), distance, bucket))
-    labelled = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = least.join(roots.hint("merge"), least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = labelled.select("fp", "root").join(whole, "root").select("fp", "component_id")
-    return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    final = labelled.select("fp", "root").join(whole.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(final.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def keep_representatives(docs: DataFrame, found: DataFrame, id_col: str) -> Data
     stay = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("stay")).distinct()
     rows = wrapped(docs, key=F.col(id_col).cast("long"))
     # Joined and freed of repeated rows under one partitioning by id, so a text moves once.
-    kept = rows.where("key is not null").join(stay, F.col("key") == F.col("stay")).dropDuplicates(["key"]).select("row")
+    kept = rows.where("key is not null").join(stay.hint("merge"), F.col("key") == F.col("stay")).dropDuplicates(["key"]).select("row")
     return unwrapped(kept.unionByName(rows.where("key is null").select("row")), docs.columns)
 
 

@@ -178,3 +178,10 @@ def test_sharding_copies_fill_pages(spark, nothing):
     assert sum(per.values()) == 25 and max(per.values()) == 10 and len(per) == 3
     assert sum(r.doc_id is None for r in found) == 3 and [r.oversized for r in found if r.doc_id == 2] == [True]
     assert sharding.shard(nothing, 100).count() == 0
+
+
+def test_simhash_broadcasts_nothing(corpus):
+    _, df = corpus
+    for found in (simhash.near_components(df), simhash.drop_near_copies(df), simhash.links(df.select(F.col("doc_id").alias("fp")).distinct())):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
