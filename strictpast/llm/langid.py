@@ -41,12 +41,16 @@ class Settings:
     seed: int = 7
 
 
-def flipped(x: np.ndarray, lengths: np.ndarray | None) -> np.ndarray:
-    """(steps, lanes, ...) with each lane's first ``lengths`` steps in reverse order, the rest in place."""
-    if lengths is None or (lengths == len(x)).all():
-        return x[::-1]
-    step = np.arange(len(x))[:, None]
-    return x[np.where(step < lengths, lengths - 1 - step, step), np.arange(x.shape[1])]
+#: The symbol after the end of a lane, beside the 256 bytes. It leaves a state of zero as it is.
+END = 256
+
+
+def symbols(data: np.ndarray, lengths: np.ndarray | None) -> np.ndarray:
+    """(steps, lanes) for bytes (lanes, steps), ``END`` from each lane's own length on."""
+    across = np.ascontiguousarray(data.T).astype(np.intp)
+    if lengths is not None:
+        across[np.arange(len(across))[:, None] >= lengths] = END
+    return across
 
 
 class Network:
@@ -68,60 +72,58 @@ class Network:
     def logits(self, data: np.ndarray, lengths: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
         """(steps, lanes, classes) for bytes (lanes, steps). ``keep`` gathers what training needs.
 
-        The backward layer starts at the end of each lane's own ``lengths`` bytes, so padding is never before a byte
-        in either direction.
+        The backward layer reads ``END`` up to each lane's own length and so starts there from zero, and padding is never
+        before a byte in either direction.
         """
-        lanes, steps = data.shape
+        across = symbols(data, lengths)
+        steps, lanes = across.shape
         h, kind = self.hidden, self.p["E"].dtype
-        # Lanes lie along the last axis. A sigmoid is 1 / (1 + exp(-x)), a tanh 1 - 2 / (1 + exp(2x)): weights carry the factors.
-        factor = np.full((3 * h, 1), -1, kind)
-        factor[2 * h :] = 2
-        E, U, c, V = (np.ascontiguousarray(self.p[k].transpose(0, 2, 1)) for k in "EUcV")
-        E, U, c = E * factor, U * factor, c * 2
-        state, one = np.zeros((2, h, lanes), kind), np.ones((), kind)
-        across = np.ascontiguousarray(data.T).astype(np.intp)
-        other = flipped(across, lengths)
-        out, back = (np.empty((steps, self.classes, lanes), kind) for _ in range(2))
-        pre, own, top = np.empty((2, 3 * h, lanes), kind), np.empty((2, 3 * h, lanes), kind), np.empty((2, self.classes, lanes), kind)
-        gates, fresh, inner = pre[:, : 2 * h], pre[:, 2 * h :], own[:, 2 * h :]
-        update, reset = pre[:, :h], pre[:, h : 2 * h]
+        # Axis 0: gate, so that each lies in one piece. A sigmoid is 1 / (1 + exp(-x)), a tanh 1 - 2 / (1 + exp(2x)): weights
+        # carry the factors, and what a gate scales is divided by 1 + exp(-x).
+        factor = np.array([-1, -1, 2], kind)[:, None, None, None]
+        E, U = (np.ascontiguousarray(self.p[k].reshape(2, -1, 3, h).transpose(2, 0, 1, 3) * factor) for k in "EU")
+        end = np.zeros((3, 2, 1, h), kind)
+        end[1] = np.inf  # nothing of the state gets into the candidate, which is zero
+        E = np.concatenate([E, end], 2).reshape(3, 2 * (END + 1), h)
+        c = np.repeat(self.p["c"] * 2, lanes, 1)
+        both = np.concatenate([across, across[::-1] + END + 1], 1)
+        state, one = np.zeros((2, lanes, h), kind), np.ones((), kind)
+        out = np.empty((steps, 2, lanes, self.classes), kind)
+        pre, own = np.empty((3, 2, lanes, h), kind), np.empty((3, 2, lanes, h), kind)
+        flat, gates, (update, reset, fresh), inner = pre.reshape(3, 2 * lanes, h), pre[:2], pre, own[2]
         with np.errstate(over="ignore"):
             for t in range(steps):
-                np.take(E[0], across[t], axis=1, out=pre[0], mode="clip")
-                np.take(E[1], other[t], axis=1, out=pre[1], mode="clip")
-                np.matmul(U, state, out=own)
-                gates += own[:, : 2 * h]
+                np.take(E, both[t], axis=1, out=flat, mode="clip")
+                np.matmul(state, U, out=own)
+                gates += own[:2]
                 np.exp(gates, out=gates)
                 gates += one
-                np.divide(one, gates, out=gates)
                 inner += c
                 if keep is not None:
-                    held = [x.transpose(0, 2, 1).copy() for x in (state, update, reset, inner * 0.5)]
-                inner *= reset
+                    held = [state.copy(), one / update, one / reset, inner * 0.5]
+                inner /= reset
                 fresh += inner
                 np.exp(fresh, out=fresh)
                 fresh += one
                 np.divide(-2 * one, fresh, out=fresh)
                 fresh += one
                 if keep is not None:
-                    keep.append((*held, fresh.transpose(0, 2, 1).copy()))
+                    keep.append((*held, fresh.copy()))
                 state -= fresh
-                state *= update
+                state /= update
                 state += fresh
-                np.matmul(V, state, out=top)
-                out[t], back[t] = top
+                np.matmul(state, self.p["V"], out=out[t])
         if keep is not None:
-            keep.append(state.transpose(0, 2, 1).copy())
-        out, back = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (out, back))
-        out += flipped(back, lengths)
-        out += self.p["b"]
-        return out
+            keep.append(state)
+        total = out[:, 0] + out[::-1, 1]
+        total += np.tile(self.p["b"], (lanes, 1))
+        return total
 
     @staticmethod
-    def soft(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(-1, keepdims=True)
+    def soft(logits: np.ndarray, axis: int = -1) -> np.ndarray:
+        logits -= logits.max(axis, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(-1, keepdims=True)
+        logits /= logits.sum(axis, keepdims=True)
         return logits
 
     def gradient(self, data: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, dict]:
@@ -130,15 +132,16 @@ class Network:
         h = self.hidden
         keep: list = []
         lengths = (weights > 0).sum(1)
-        other = flipped(data.T, lengths)
+        across = symbols(data, lengths)
         prob = self.soft(self.logits(data, lengths, keep))
         last = keep.pop()
         rows = np.arange(lanes)
         loss = -float((np.log(prob[:, rows, labels] + 1e-9) * weights.T).sum() / weights.sum())
         prob[:, rows, labels] -= 1
         prob *= (weights.T / weights.sum())[:, :, None]
-        behind = flipped(prob, lengths)
+        behind = prob[::-1]
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g["E"] = np.zeros((2, END + 1, 3 * h), g["E"].dtype)
         g["b"] = prob.sum((0, 1))
         E, U, V = self.p["E"], self.p["U"], self.p["V"]
         down = np.zeros((2, lanes, h), np.float32)
@@ -156,13 +159,14 @@ class Network:
             d_own = np.concatenate([d_update, d_reset, d_inner], 2)
             d_pre = np.concatenate([d_update, d_reset, d_fresh], 2)
             g["U"] += state.transpose(0, 2, 1) @ d_own
-            for k, now in ((0, data[:, t]), (1, other[t])):
+            for k, now in ((0, across[t]), (1, across[steps - 1 - t])):
                 order = np.argsort(now, kind="stable")
                 sorted_bytes = now[order]
                 first = np.flatnonzero(np.r_[True, sorted_bytes[1:] != sorted_bytes[:-1]])
                 g["E"][k, sorted_bytes[first]] += np.add.reduceat(d_pre[k][order], first, axis=0)
             down = down * update + d_own @ U.transpose(0, 2, 1)
             after = state
+        g["E"] = g["E"][:, :END]
         return loss, g
 
     def train(self, data: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> list[float]:
@@ -212,17 +216,18 @@ class Model:
             part = spans[at : at + s.lanes]
             wide = max(b - a for _, a, b in part) + 2 * pad
             data = np.zeros((len(part), wide), np.uint8)
-            inside = np.zeros((len(part), wide), bool)
+            inside = np.zeros((len(part), wide), np.float32)
             lengths = np.empty(len(part), np.int64)
             for k, (i, a, b) in enumerate(part):
                 lo = max(0, a - pad)
                 body = texts[i][lo : b + pad]
                 lengths[k] = len(body)
                 data[k, : len(body)] = np.frombuffer(body, np.uint8)
-                inside[k, a - lo : b - lo] = True
-            prob = self.network.soft(self.network.logits(data, lengths))
-            prob *= inside.T[:, :, None]
-            np.add.at(sums, [i for i, _, _ in part], prob.sum(0, dtype=np.float64))
+                inside[k, a - lo : b - lo] = 1
+            # Languages before lanes: sums over a few languages are then sums of long rows.
+            prob = self.network.soft(np.ascontiguousarray(self.network.logits(data, lengths).transpose(0, 2, 1)), 1)
+            prob *= inside.T[:, None]
+            np.add.at(sums, [i for i, _, _ in part], prob.sum(0, dtype=np.float64).T)
         return sums / np.maximum(1, [len(x) for x in texts])[:, None]
 
 
